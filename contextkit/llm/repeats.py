@@ -20,6 +20,7 @@ arrays in the order of the request.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from contextkit.llm.windows import Bytes, U, Words, covered, mix, runs, spread
 REQUEST = "bucket int, batch int, size int, one binary, two binary, doc binary"
 REPLY = "batch int, round int, bucket int, size int, first binary, second binary"
 CHUNK = {Words: 30_000, Bytes: 200_000}  # tokens; a chunk's arrays stay in the processor's cache
-BATCH_BYTES = 10_000_000
+BATCH_BYTES = 4_000_000
 
 
 def _arrow(schema: str, rows: dict[str, list]) -> pa.Table:
@@ -44,19 +45,14 @@ def _arrow(schema: str, rows: dict[str, list]) -> pa.Table:
 def _chunks(unit: Words | Bytes, t: pa.Table) -> Iterator[tuple[np.ndarray, list]]:
     """Row numbers and tokens of some of a batch's documents at a time; rows without doc_id stay apart."""
     rows, docs, n = [], [], 0
-    known = t["doc_id"].is_valid().to_pylist()
-    i = 0
-    for piece in t["text"].chunks:
-        for x in piece:
-            if known[i]:
-                d = unit.tokens(x.as_py())
-                rows.append(i)
-                docs.append(d)
-                n += len(d)
-                if n >= CHUNK[type(unit)]:
-                    yield np.array(rows), docs
-                    rows, docs, n = [], [], 0
-            i += 1
+    for i in np.flatnonzero(t["doc_id"].is_valid().to_numpy()).tolist():
+        d = unit.tokens(t["text"][i].as_py())
+        rows.append(i)
+        docs.append(d)
+        n += len(d)
+        if n >= CHUNK[type(unit)]:
+            yield np.array(rows), docs
+            rows, docs, n = [], [], 0
     if rows:
         yield np.array(rows), docs
 
@@ -157,21 +153,6 @@ class _Replies:
         return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r[name], np.uint8), count=r["size"]).astype(bool) for r in self.rows[round_])])
 
 
-def _anchors(unit, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors of a batch, and which of them two of its documents hold."""
-    ids, a, d = _ids(t), [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for rows, docs in _chunks(unit, t):
-        if r := runs(unit, docs):
-            a.append(r.anchor)
-            d.append(ids[rows[r.doc]])
-    anchor, doc = np.concatenate(a), np.concatenate(d)
-    order = np.argsort(anchor, kind="stable")
-    anchor, doc = anchor[order], doc[order]
-    head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, np.int64)
-    many = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head) if len(head) else np.zeros(0, bool)
-    return anchor[head], many
-
-
 def _within(key: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which of ``key`` are in the sorted array ``some``."""
     if not len(some):
@@ -180,40 +161,54 @@ def _within(key: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[i] == key
 
 
-class _Known:
-    """What a batch has learned so far; it is worked out anew in each round from text and replies."""
-
-    def __init__(self, unit, t: pa.Table, replies: pa.Table, rounds: int):
-        self.unit, self.t, self.ids = unit, t, _ids(t)
-        got = _Replies(replies)
-        anchor, many = _anchors(unit, t)
-        self.shared = anchor[got.bits(1, "first") | many]
-        if rounds < 2:
-            return
-        one, two, doc = self.contexts()
-        self.name, order = np.unique(mix(one, two), return_index=True)
-        self.doc, self.earlier, self.several = doc[order], got.bits(2, "first")[order], got.bits(2, "second")[order]
-        if rounds < 3:
-            return
-        window, doc = self.windows()
-        self.window, self.window_doc = window, np.where(got.bits(3, "first"), np.int64(np.iinfo(np.int64).min), doc)
+class _Batch:
+    """A batch's runs, and what the replies so far say of them.
+
+    Runs are made from the text anew in each round.  Names of single windows
+    are made again only for chunks that have open runs.
+    """
+
+    def __init__(self, unit, t: pa.Table, replies: pa.Table | None = None, rounds: int = 0):
+        self.unit, self.t, self.ids = unit, t.combine_chunks(), _ids(t)
+        self.chunks = []
+        for rows, docs in _chunks(unit, self.t):
+            if r := runs(unit, docs):
+                r.window = None
+            self.chunks.append((rows, r, np.array([len(d) for d in docs], np.int64)))
+        got = None if replies is None else _Replies(replies)
+        if rounds > 0:
+            anchor, many = self.anchors()
+            self.shared = anchor[got.bits(1, "first") | many]
+        if rounds > 1:
+            one, two, doc = self.contexts()
+            self.name, order = np.unique(mix(one, two), return_index=True)
+            self.doc, self.earlier, self.several = doc[order], got.bits(2, "first")[order], got.bits(2, "second")[order]
+        if rounds > 2:
+            self.window, doc = self.windows()
+            self.window_doc = np.where(got.bits(3, "first"), np.iinfo(np.int64).min, doc)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors of the batch, and which of them two of its documents hold."""
+        found = [(r.anchor, self.ids[rows[r.doc]]) for rows, r, _ in self.chunks if r]
+        if not found:
+            return np.zeros(0, U), np.zeros(0, bool)
+        anchor, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(anchor, kind="stable")
+        anchor, doc = anchor[order], doc[order]
+        head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        return anchor[head], np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)
 
     def runs(self):
-        for rows, docs in _chunks(self.unit, self.t):
-            r = runs(self.unit, docs)
-            yield rows, docs, r, None if r is None else np.flatnonzero(_within(r.anchor, self.shared))
+        """Of each chunk: rows, runs, sizes and the runs with a shared anchor."""
+        for rows, r, size in self.chunks:
+            yield rows, r, size, np.flatnonzero(_within(r.anchor, self.shared)) if r else np.zeros(0, np.int64)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (anchor, context) with the least doc_id of this batch, by anchor."""
-        one, two, doc = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for rows, _, r, s in self.runs():
-            if r is not None:
-                one.append(r.anchor[s])
-                two.append(r.context[s])
-                doc.append(self.ids[rows[r.doc[s]]])
-        one, two, doc = map(np.concatenate, (one, two, doc))
-        if not len(one):
-            return one, two, doc
+        found = [(r.anchor[s], r.context[s], self.ids[rows[r.doc[s]]]) for rows, r, _, s in self.runs() if len(s)]
+        if not found:
+            return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+        one, two, doc = (np.concatenate(x) for x in zip(*found, strict=True))
         order, group = _groups(one, two)
         head = np.flatnonzero(np.diff(group, prepend=-1))
         return one[order][head], two[order][head], _least(group, doc[order])
@@ -226,41 +221,37 @@ class _Known:
 
     def open_windows(self, rows, r, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, name and doc_id of each window of the runs ``s``."""
+        if not len(s):
+            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+        names = self.unit.names([self.unit.tokens(self.t["text"][i].as_py()) for i in rows.tolist()])[1]
         start = spread(r.start[s], r.n[s])
-        return start, mix(r.window[start], np.repeat(r.anchor[s], r.n[s])), np.repeat(self.ids[rows[r.doc[s]]], r.n[s])
+        return start, mix(names[start], np.repeat(r.anchor[s], r.n[s])), np.repeat(self.ids[rows[r.doc[s]]], r.n[s])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct windows of open runs with the least doc_id of this batch."""
-        name, doc = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for rows, _, r, s in self.runs():
-            if r is not None:
-                _, w, d = self.open_windows(rows, r, s[self.settled(rows, r, s)[1]])
-                name.append(w)
-                doc.append(d)
-        name, doc = np.concatenate(name), np.concatenate(doc)
-        if not len(name):
-            return name, doc
+        found = [self.open_windows(rows, r, s[self.settled(rows, r, s)[1]])[1:] for rows, r, _, s in self.runs() if len(s)]
+        if not found:
+            return np.zeros(0, U), np.zeros(0, np.int64)
+        name, doc = (np.concatenate(x) for x in zip(*found, strict=True))
         order, group = _groups(name)
         return name[order][np.flatnonzero(np.diff(group, prepend=-1))], _least(group, doc[order])
 
-    def removed(self) -> Iterator[tuple[int, object, np.ndarray]]:
-        """Row, tokens and removed tokens of each document."""
-        for rows, docs, r, s in self.runs():
-            if r is None:
-                for row, d in zip(rows, docs, strict=True):
-                    yield row, d, np.zeros(len(d), bool)
-                continue
-            gone, still = self.settled(rows, r, s)
-            starts = [spread(r.start[s[gone]], r.n[s[gone]])]
-            at, name, doc = self.open_windows(rows, r, s[still])
-            if len(at):
-                starts.append(at[self.window_doc[np.searchsorted(self.window, name)] < doc])
-            mask = covered(np.concatenate(starts), self.unit.width, r.at[-1])
-            for k, (row, d) in enumerate(zip(rows, docs, strict=True)):
-                yield row, d, mask[r.at[k] : r.at[k + 1]]
-
-
-def _digest(unit, tokens, gone: np.ndarray) -> tuple[int, int, int, bytes]:
+    def removed(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Row and removed tokens of each document."""
+        for rows, r, size, s in self.runs():
+            mask = np.zeros(size.sum(), bool)
+            if len(s):
+                gone, still = self.settled(rows, r, s)
+                starts = [spread(r.start[s[gone]], r.n[s[gone]])]
+                at, name, doc = self.open_windows(rows, r, s[still])
+                if len(at):
+                    starts.append(at[self.window_doc[np.searchsorted(self.window, name)] < doc])
+                mask = covered(np.concatenate(starts), self.unit.width, len(mask))
+            yield from zip(rows.tolist(), np.split(mask, np.cumsum(size)[:-1]), strict=True)
+
+
+def _digest(unit, tokens, gone: np.ndarray | None) -> tuple[int, int, int, bytes]:
+    gone = np.zeros(len(tokens), bool) if gone is None else gone
     n = int(gone.sum())
     spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
     if isinstance(unit, Bytes):
@@ -286,51 +277,39 @@ def remove_repeats(docs: DataFrame, unit: Words | Bytes, keep_text: bool = False
     n = parts_for(docs, BATCH_BYTES)
     dealt = docs.withColumn("batch", batch_of("doc_id", n)).repartition(n, "batch")
 
-    def ask(make):
-        def first(key, t):
-            return make(key[0].as_py(), t, None)
+    out_schema = RESULT + ", kept_text string" * keep_text
+    none = {k.split()[0]: [] for k in REQUEST.split(", ")}
 
-        def later(key, t, replies):
-            return make(key[0].as_py(), t, replies) if len(t) else _arrow(REQUEST, {k.split()[0]: [] for k in REQUEST.split(", ")})
+    def anchors(key, t):
+        return _requests(key[0].as_py(), n, _Batch(unit, t).anchors()[0])
 
-        return first, later
+    def contexts(key, t, replies):
+        return _requests(key[0].as_py(), n, *_Batch(unit, t, replies, 1).contexts()) if len(t) else _arrow(REQUEST, none)
 
-    def anchors(batch, t, _):
-        return _requests(batch, n, _anchors(unit, t)[0])
-
-    def contexts(batch, t, replies):
-        return _requests(batch, n, *_Known(unit, t, replies, 1).contexts())
-
-    def windows(batch, t, replies):
-        name, doc = _Known(unit, t, replies, 2).windows()
-        return _requests(batch, n, name, np.zeros(0, U), doc)
+    def windows(key, t, replies):
+        if not len(t):
+            return _arrow(REQUEST, none)
+        name, doc = _Batch(unit, t, replies, 2).windows()
+        return _requests(key[0].as_py(), n, name, np.zeros(0, U), doc)
 
     def results(key, t, replies):
-        names = ["doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
+        names = [c.split()[0] for c in out_schema.split(", ")]
         out: dict[str, list] = {c: [] for c in names}
-
-        def put(doc, total, gone, spans, kept):
-            values = [doc, total, gone, spans, hashlib.sha256(kept).hexdigest(), *[kept.decode(errors="ignore")] * keep_text]
-            for c, v in zip(names, values, strict=True):
-                out[c].append(v)
-
         if len(t):
-            ids = t["doc_id"].to_pylist()
-            for row, tokens, gone in _Known(unit, t, replies, 3).removed():
-                put(ids[row], *_digest(unit, tokens, gone))
-            for i in np.flatnonzero([x is None for x in ids]):
-                tokens = unit.tokens(t["text"][int(i)].as_py())
-                put(None, *_digest(unit, tokens, np.zeros(len(tokens), bool)))
-        return _arrow(RESULT + ", kept_text string" * keep_text, out)
+            batch = _Batch(unit, t, replies, 3)
+            left = ((int(i), None) for i in np.flatnonzero(batch.t["doc_id"].is_null().to_numpy()))
+            for row, gone in itertools.chain(batch.removed(), left):
+                total, removed, spans, kept = _digest(unit, unit.tokens(batch.t["text"][row].as_py()), gone)
+                values = [batch.t["doc_id"][row].as_py(), total, removed, spans, hashlib.sha256(kept).hexdigest(), *[kept.decode(errors="ignore")] * keep_text]
+                for c, v in zip(names, values, strict=True):
+                    out[c].append(v)
+        return _arrow(out_schema, out)
 
     def both(replies: DataFrame, make, schema: str) -> DataFrame:
-        def run(key, left, right):
-            return make(key, left, right)
-
-        return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, schema)
+        return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(make, schema)
 
-    one = dealt.groupBy("batch").applyInArrow(ask(anchors)[0], REQUEST).groupBy("bucket").applyInArrow(_serve_anchors, REPLY)
-    two = both(one, ask(contexts)[1], REQUEST).groupBy("bucket").applyInArrow(_serve_contexts, REPLY)
+    one = dealt.groupBy("batch").applyInArrow(anchors, REQUEST).groupBy("bucket").applyInArrow(_serve_anchors, REPLY)
+    two = both(one, contexts, REQUEST).groupBy("bucket").applyInArrow(_serve_contexts, REPLY)
     known = one.unionByName(two)
-    three = both(known, ask(windows)[1], REQUEST).groupBy("bucket").applyInArrow(_serve_windows, REPLY)
-    return both(known.unionByName(three), results, RESULT + ", kept_text string" * keep_text)
+    three = both(known, windows, REQUEST).groupBy("bucket").applyInArrow(_serve_windows, REPLY)
+    return both(known.unionByName(three), results, out_schema)
