@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from contextkit.llm.op01_substring import op1_substring_dedup
+from contextkit.llm.op03_decontaminate import op3_decontaminate
+from contextkit.llm.op07_topk import op7_topk_search
 from contextkit.llm.op09_suffix import op9_suffix_dedup
 from contextkit.llm.op10_simhash import op10_simhash_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_suffix_dedup, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontaminate, op7_topk_search, op9_suffix_dedup, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}
