@@ -136,6 +136,16 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFrame:
+    """``docs`` in which no window of any benchmark item occurs, with their own columns.
+
+    Rows without doc_id are judged by their text like others.
+    """
+    leaky = find_leaks(docs, benchmark, width).where(F.size("items") > 0).select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
+    keyed = docs.withColumn("text_hash_", F.xxhash64("text"))
+    return keyed.join(leaky, keyed.doc_id.eqNullSafe(leaky.doc_id) & (keyed.text_hash_ == leaky.text_hash), "left_anti").select(*docs.columns)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])

@@ -1,8 +1,52 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again before the next.
 
-STAGES = []
+1. toxicity: documents that score 0.3 or more go (operator 4)
+2. near_dedup: of each class of near copies the document with the smallest doc_id stays (operator 10)
+3. decontamination: documents in which a benchmark window occurs go (operator 3)
+4. mixing: sources are brought to their target weights (operator 6)
+5. token_output: documents become packed rows of token ids (operator 8)
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from contextkit.llm._common import settle, table
+from contextkit.llm.op03_decontaminate import drop_leaks
+from contextkit.llm.op04_toxicity import drop_toxic
+from contextkit.llm.op06_mix import mixed_documents
+from contextkit.llm.op08_pack import pack_tokens
+from contextkit.llm.op10_simhash import drop_near_copies
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_tokens(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
+#: Tokenising has no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
