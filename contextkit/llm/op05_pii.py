@@ -27,6 +27,7 @@ _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ROUNDS = 3
 SUPPORT = 5  # distinct seed identifiers that a pattern needs
 CONFIDENT = 0.8  # score from which a pattern discovers
+RELIABLE = 0.2  # share of its word's occurrences at which a pattern must hold a seed
 CONTEXT = 24  # characters looked at before an identifier
 
 
@@ -98,25 +99,33 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", seen("base").alias("base"), seen("loose").alias("loose"))
 
 
-def confident_patterns(spans: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, occurrences) of ``words`` over all texts of ``docs``."""
+    every = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word"))
+    return every.join(words, "word").groupBy("word").agg(F.count("*").alias("occurrences"))
+
+
+def confident_patterns(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(pattern, score) of the patterns that discover.
 
     Identifiers and patterns form a graph with an edge where a pattern holds
-    an identifier.  Seeds have confidence 1, others begin at 0.  In each round
-    a pattern's score is the mean confidence of its identifiers, with one
-    doubtful one added; an identifier's confidence is that of its best
-    pattern with SUPPORT seeds.
+    an identifier.  A pattern takes part if it holds SUPPORT distinct seeds,
+    and a seed at RELIABLE of all occurrences of its word: an ordinary word
+    that happens to stand before identifiers says nothing.  Seeds have
+    confidence 1, others begin at 0.  In each round a pattern's score is the
+    mean confidence of its identifiers, with one doubtful one added; an
+    identifier's confidence is that of its best pattern.
     """
     place = lambda name, seed: spans.select(F.explode(name).alias("m")).select("m.pattern", "m.text", F.lit(seed).alias("seed"))
-    edges = place("base", 1).unionByName(place("loose", 0)).where("pattern NOT LIKE '%:'").groupBy("pattern", "text").agg(F.max("seed").alias("seed"))
-    seeded = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n")).where(f"seeds >= {SUPPORT}")
-    edges = settle(edges.join(seeded, "pattern"))
-    confidence = edges.select("text", F.col("seed").cast("double").alias("confidence")).groupBy("text").agg(F.max("confidence").alias("confidence"))
+    edges = place("base", 1).unionByName(place("loose", 0)).where("pattern NOT LIKE '%:'").groupBy("pattern", "text").agg(F.max("seed").alias("seed"), F.sum("seed").alias("seen"))
+    seeded = settle(edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.sum("seen").alias("seen")).where(F.col("seeds") >= SUPPORT).withColumn("word", F.substring_index("pattern", ":", -1)))
+    common = word_counts(docs, seeded.select("word").distinct())
+    reliable = seeded.join(common, "word").where(F.col("seen") >= RELIABLE * F.col("occurrences")).select("pattern")
+    edges = settle(edges.join(reliable, "pattern").select("pattern", "text", "seed"))
+    confidence = edges.groupBy("text").agg(F.max("seed").cast("double").alias("confidence"))
     for _ in range(ROUNDS):
-        scores = edges.join(confidence, "text").groupBy("pattern").agg((F.sum("confidence") / (F.count("*") + 1)).alias("score"))
-        scores = settle(scores)
-        best = edges.join(scores, "pattern").groupBy("text").agg(F.greatest(F.max("seed").cast("double"), F.max("score")).alias("confidence"))
-        confidence = best
+        scores = settle(edges.join(confidence, "text").groupBy("pattern").agg((F.sum("confidence") / (F.count("*") + 1)).alias("score")))
+        confidence = edges.join(scores, "pattern").groupBy("text").agg(F.greatest(F.max("seed").cast("double"), F.max("score")).alias("confidence"))
     return scores.where(F.col("score") >= CONFIDENT)
 
 
@@ -127,7 +136,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     same spans.
     """
     spans = settle(found_spans(docs))
-    good = confident_patterns(spans).select("pattern")
+    good = confident_patterns(docs, spans).select("pattern")
     place = F.struct("m.kind", "m.start", "m.end")
     loose = spans.where(F.size("loose") > 0).select("doc_id", "text_hash", F.explode("loose").alias("m")).withColumn("pattern", F.col("m.pattern"))
     more = loose.join(good, "pattern", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(place).alias("more"))
