@@ -154,7 +154,5 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def covered(start: np.ndarray, width: int, length: int) -> np.ndarray:
     """Which of ``length`` tokens lie in a window that begins at one of ``start``."""
-    edge = np.zeros(length + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + width, -1)
+    edge = np.bincount(start, minlength=length + 1) - np.bincount(start + width, minlength=length + 1)
     return np.cumsum(edge[:-1]) > 0
