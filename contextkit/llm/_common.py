@@ -19,8 +19,19 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, each: int, least: int = 8, most: int = 1 << 17) -> int:
-    """How many partitions of about ``each`` bytes ``df`` fills, by Catalyst's estimate."""
-    return max(least, min(most, math.ceil(plan_bytes(df) / each)))
+    """How many partitions of about ``each`` bytes ``df`` fills.
+
+    Catalyst's estimate for tables; rows that come from elsewhere have none,
+    and are measured.
+    """
+    size = plan_bytes(df)
+    if size >= 1 << 60:
+        row = F.lit(16 * len(df.columns)).cast("long")
+        for name, kind in df.dtypes:
+            if kind == "string":
+                row = row + F.coalesce(F.octet_length(name), F.lit(0))
+        size = df.agg(F.sum(row)).first()[0] or 0
+    return max(least, min(most, math.ceil(size / each)))
 
 
 def scratch(spark: SparkSession) -> str:
