@@ -23,7 +23,7 @@ LOOSE = {
     "card": r"(?<![0-9-])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}+\)?[\x20./-]?[0-9]{2,4}[\x20./-][0-9]{3,5}+(?![0-9.])",
 }
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ROUNDS = 3
 SUPPORT = 5  # distinct seed identifiers that a pattern needs
 CONFIDENT = 0.8  # score from which a pattern discovers
