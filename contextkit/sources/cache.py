@@ -93,7 +93,7 @@ class FuzzyCache:
         self.path, self.threshold, self.shingle_size = db_path, threshold, shingle_size
         self.spark = spark or SparkSession.builder.getOrCreate()
         try:
-            self.table().limit(0).collect()
+            self.table().select("id").head(1)
         except Exception as e:
             raise RuntimeError(f"Failed to open database: {e}") from e
 
