@@ -12,7 +12,9 @@ from contextkit.llm.op07_topk import op7_topk_search
 from contextkit.llm.op08_pack import op8_pack_tokens
 from contextkit.llm.op09_suffix import op9_suffix_dedup
 from contextkit.llm.op10_simhash import op10_simhash_dedup
+from contextkit.llm.oracles import ORACLES
 
 _ALL = (op1_substring_dedup, op2_format_chats, op3_decontaminate, op4_toxicity, op5_find_pii, op6_mix_sources, op7_topk_search, op8_pack_tokens, op9_suffix_dedup, op10_simhash_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
