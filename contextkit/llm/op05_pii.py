@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,12 @@ RELIABLE = 0.2  # share of its word's occurrences at which a pattern must hold a
 CONTEXT = 24  # characters looked at before an identifier
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, text), in code points.
+def matches(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """Leftmost non-overlapping matches that are valid as (start, end, text), in code points.
 
     The gaps between matches come from a split by the same pattern; running
-    sums of the lengths give the places.
+    sums of the lengths give the places.  What fails is passed over at once, so
+    a long text of numbers keeps no long list.
     """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, text: string>>)").alias("found"))
@@ -44,7 +47,8 @@ def matches(text: Column, pattern: str) -> Column:
     def add(acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.length(pair["gap"])
         end = at + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(at.alias("start"), end.alias("end"), pair["hit"].alias("text"))).alias("found"))
+        more = F.array_append(acc["found"], F.struct(at.alias("start"), end.alias("end"), pair["hit"].alias("text")))
+        return F.struct(end.alias("at"), F.when(valid(pair["hit"]), more).otherwise(acc["found"]).alias("found"))
 
     return F.aggregate(pairs, start, add, lambda acc: acc["found"])
 
@@ -71,8 +75,7 @@ def _spans(text: Column, patterns: dict[str, str], check: bool) -> Column:
     none = F.expr("cast(array() as array<struct<kind: int, start: int, end: int, text: string>>)")
 
     def part(number: int, kind: str) -> Column:
-        found = matches(text, patterns[kind])
-        found = F.filter(found, lambda m: _valid(kind, m["text"])) if check else found
+        found = matches(text, patterns[kind], lambda hit: _valid(kind, hit) if check else F.lit(True))
         found = F.transform(found, lambda m: F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
         return F.when(needs[kind], found).otherwise(none)
 
