@@ -53,6 +53,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batch_of(key: str, n: int):
-    """The batch from 0 to n-1 that a row with this key belongs to."""
-    return F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(n)).cast("int")
+def batch_of(n: int):
+    """The batch from 0 to n-1 of a row of documents; rows without doc_id, or that share one, go by their texts too."""
+    return F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text")), F.lit(n)).cast("int")

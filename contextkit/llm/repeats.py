@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, unit: Words | Bytes, keep_text: bool = False
     """
     docs = docs.select("doc_id", "text")
     n = parts_for(docs, BATCH_BYTES)
-    dealt = docs.withColumn("batch", batch_of("doc_id", n)).repartition(n, "batch")
+    dealt = docs.withColumn("batch", batch_of(n)).repartition(n, "batch")
 
     out_schema = RESULT + ", kept_text string" * keep_text
     none = {k.split()[0]: [] for k in REQUEST.split(", ")}
