@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,13 +138,32 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFrame:
-    """``docs`` in which no window of any benchmark item occurs, with their own columns.
+    """``docs`` without those in which ``width`` words of a benchmark item, or two items, occur; with their own columns.
 
-    Rows without doc_id are judged by their text like others.
+    Each row is judged by its text alone and stays where it is: nothing is
+    shuffled.  Null texts stay.
     """
-    leaky = find_leaks(docs, benchmark, width).where(F.size("items") > 0).select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
-    keyed = docs.withColumn("text_hash_", F.xxhash64("text"))
-    return keyed.join(leaky, keyed.doc_id.eqNullSafe(leaky.doc_id) & (keyed.text_hash_ == leaky.text_hash), "left_anti").select(*docs.columns)
+    spans_type = "struct<spans: array<struct<first: long, end: long>>, items: array<string>>"
+    found = F.lit(None).cast(spans_type)
+    for phrases in _passes(benchmark, width):
+
+        @F.pandas_udf(spans_type)
+        def search(texts: pd.Series, before: pd.DataFrame, phrases=phrases) -> pd.DataFrame:
+            out, got, n = [], [], 0
+            for i, t in enumerate(texts):
+                got.append(t)
+                n += len(t or "") // 6
+                if n >= SHARD_WORDS or i == len(texts) - 1:
+                    out += search_shard(phrases, got)
+                    got, n = [], 0
+            old = [([] if s is None else [(x["first"], x["end"]) for x in s], [] if i is None else i) for s, i in zip(before["spans"], before["items"], strict=True)]
+            spans = [[{"first": a, "end": b} for a, b in _merge(s + new)] for (s, _), (_, new, _) in zip(old, out, strict=True)]
+            return pd.DataFrame({"spans": spans, "items": [sorted(items.union(i)) for (_, i), (_, _, items) in zip(old, out, strict=True)]})
+
+        found = search(F.col("text"), found)
+    long_run = F.exists("leak_.spans", lambda s: s["end"] - s["first"] >= width)
+    marked = docs.withColumn("leak_", found)
+    return marked.where(~F.coalesce(long_run | (F.size("leak_.items") >= 2), F.lit(False))).select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
