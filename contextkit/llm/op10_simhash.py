@@ -20,11 +20,11 @@ FRONT = 1 << 19  # node pairs in work at a time
 HOT = 200_000  # a bucket of more fingerprints is linked by its one-bit neighbours instead
 
 
-def print_of(text: str | None, shingle: int) -> int:
-    """The SimHash of ``text`` over shingles of words, as a signed 64-bit integer; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of words, repeats included; fewer words are one shingle, none have none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, U)
     line = b" ".join(words)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     if len(words) <= shingle:
@@ -32,13 +32,21 @@ def print_of(text: str | None, shingle: int) -> int:
     else:
         start, end = np.concatenate(([0], end[:-shingle] + 1)).tolist(), end[shingle - 1 :].tolist()
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(line[a:b], 42) for a, b in zip(start, end, strict=True)), np.dtype(">u8"), len(start))
+    return np.fromiter((hashed(line[a:b], 42) for a, b in zip(start, end, strict=True)), U, len(start))
+
+
+def print_of_hashes(h: np.ndarray) -> int:
+    """The SimHash of shingle hashes, as a signed 64-bit integer; 0 of none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
+def print_of(text: str | None, shingle: int) -> int:
+    return print_of_hashes(shingle_hashes(text, shingle))
+
+
 def fingerprint(text: Column, shingle: int = 3) -> Column:
     @F.pandas_udf("long")
     def prints(s: pd.Series) -> pd.Series:
@@ -183,8 +191,8 @@ def classes(prints: DataFrame, budget: int = 2) -> DataFrame:
     """
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(distinct.select("fp"), budget))
-    joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"))
+    joined = settle(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    smallest = settle(joined.groupBy("label").agg(F.min("least").alias("component_id")))
     return joined.join(smallest, "label").select("fp", "component_id")
 
 
@@ -201,16 +209,6 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
     return known.unionByName(prints.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
-    """``docs`` with one row left of each class: that of the smallest doc_id.
-
-    Rows without doc_id all stay.
-    """
-    first = simhash_classes(docs, shingle, budget).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over documents, each written and read again before the next.
 
 1. toxicity: documents that score 0.3 or more go (operator 4)
-2. near_dedup: of each class of near copies the document with the smallest doc_id stays (operator 10)
-3. decontamination: documents in which a benchmark window occurs go (operator 3)
+2. near_dedup: of documents whose 5-word shingles are similar by 0.8 or more, the one with the smallest doc_id
+   stays (operator 10's trie join and least hashes find the pairs; see contextkit/llm/similar.py)
+3. decontamination: documents in which 8 words of a benchmark item occur, or two items, go (operator 3)
 4. mixing: sources are brought to their target weights (operator 6)
 5. token_output: documents become packed rows of token ids (operator 8)
 """
@@ -16,7 +17,7 @@ from contextkit.llm.op03_decontaminate import drop_leaks
 from contextkit.llm.op04_toxicity import drop_toxic
 from contextkit.llm.op06_mix import mixed_documents
 from contextkit.llm.op08_pack import pack_tokens
-from contextkit.llm.op10_simhash import drop_near_copies
+from contextkit.llm.similar import drop_near_copies
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

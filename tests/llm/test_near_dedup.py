@@ -66,11 +66,3 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components(edges)
     assert got.where("label = 0").count() == got.count() == n + 1
-
-
-def test_one_copy_stays(spark):
-    docs = cases.documents(spark)
-    kept = op.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(None) == 2 and ids.count(2) == 0 and ids.count(9) == 0 and ids.count(15) == 1
