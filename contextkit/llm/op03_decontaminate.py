@@ -137,30 +137,37 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPAN = "struct<first: long, end: long>"
+
+
+def _leaks_of(phrases: Phrases):
+    """A UDF that adds to a column of spans and items what ``phrases`` find in a column of texts."""
+
+    @F.pandas_udf(f"spans array<{_SPAN}>, items array<string>")
+    def search(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        out, got, n = [], [], 0
+        for i, t in enumerate(texts):
+            got.append(t)
+            n += len(t or "") // 6
+            if n >= SHARD_WORDS or i == len(texts) - 1:
+                out += search_shard(phrases, got)
+                got, n = [], 0
+        spans = [_merge([(x["first"], x["end"]) for x in old] + new) for old, (_, new, _) in zip(before["spans"], out, strict=True)]
+        items = [sorted({*old, *new}) for old, (_, _, new) in zip(before["items"], out, strict=True)]
+        return pd.DataFrame({"spans": [[{"first": a, "end": b} for a, b in m] for m in spans], "items": items})
+
+    return search
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFrame:
     """``docs`` without those in which ``width`` words of a benchmark item, or two items, occur; with their own columns.
 
     Each row is judged by its text alone and stays where it is: nothing is
     shuffled.  Null texts stay.
     """
-    spans_type = "struct<spans: array<struct<first: long, end: long>>, items: array<string>>"
-    found = F.lit(None).cast(spans_type)
+    found = F.expr(f"named_struct('spans', cast(array() as array<{_SPAN}>), 'items', cast(array() as array<string>))")
     for phrases in _passes(benchmark, width):
-
-        @F.pandas_udf(spans_type)
-        def search(texts: pd.Series, before: pd.DataFrame, phrases=phrases) -> pd.DataFrame:
-            out, got, n = [], [], 0
-            for i, t in enumerate(texts):
-                got.append(t)
-                n += len(t or "") // 6
-                if n >= SHARD_WORDS or i == len(texts) - 1:
-                    out += search_shard(phrases, got)
-                    got, n = [], 0
-            old = [([] if s is None else [(x["first"], x["end"]) for x in s], [] if i is None else i) for s, i in zip(before["spans"], before["items"], strict=True)]
-            spans = [[{"first": a, "end": b} for a, b in _merge(s + new)] for (s, _), (_, new, _) in zip(old, out, strict=True)]
-            return pd.DataFrame({"spans": spans, "items": [sorted(items.union(i)) for (_, i), (_, _, items) in zip(old, out, strict=True)]})
-
-        found = search(F.col("text"), found)
+        found = _leaks_of(phrases)(F.col("text"), found)
     long_run = F.exists("leak_.spans", lambda s: s["end"] - s["first"] >= width)
     marked = docs.withColumn("leak_", found)
     return marked.where(~F.coalesce(long_run | (F.size("leak_.items") >= 2), F.lit(False))).select(*docs.columns)
