@@ -41,28 +41,55 @@ def explicit_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, steps, open): how far back a call's chain of single dependencies goes, and to which call.
+
+    An anchor has no dependency, or several.  Pointers double each round, so
+    rounds grow with the logarithm of the longest chain.  Calls that stay open
+    lead into a cycle: once a round closes none, no later round does.
+    """
+    single = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("before").alias("before"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    at = nodes.join(single, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(one, F.col("before")).otherwise(F.col("call_id")).alias("anchor"), one.cast("long").alias("steps"), one.alias("open"))
+    at = settle(at)
+    left = at.where("open").count()
+    while left:
+        ahead = at.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("further"), F.col("steps").alias("more"), F.col("open").alias("still"))
+        jumped = at.where("open").join(ahead, ["conv_id", "anchor"]).select("conv_id", "call_id", F.col("further").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"))
+        at, before = settle(at.where("NOT open").unionByName(jumped)), left
+        left = at.where("open").count()
+        if left == before:
+            break
+    return at
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without dependencies, else one more than the highest of them.
 
     Dependencies that are no call of the conversation do not hold a call back.
     Calls on a cycle, and those that depend on one, are not in the result.
-    Rounds are as many as the deepest chain; each is one join of those still
-    waiting with the level that the round before has settled.
+    Chains of single dependencies are measured by doubling; the rounds after
+    that are as many as calls with several dependencies follow one another.
     """
     nodes = calls.where("call_id IS NOT NULL").select("conv_id", "call_id").distinct()
     edges = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", F.explode("after").alias("before")).distinct()
     edges = settle(edges.join(nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"]))
-    waiting = settle(edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open")))
-    ready = settle(nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    done, level = ready, 0
-    while not ready.isEmpty():
-        level += 1
-        met = edges.join(ready.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi").groupBy("conv_id", "call_id").agg(F.count("*").alias("met"))
-        waiting = settle(waiting.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")).where("open >= 0"))
-        ready = waiting.where("open = 0").select("conv_id", "call_id").withColumn("level", F.lit(level))
-        waiting = waiting.where("open > 0")
+    at = chains(nodes, edges)
+    closed = at.where("NOT open")
+    several = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open")).where("open > 1")
+    waiting = settle(several.withColumn("level", F.lit(0).cast("long")))
+    joints = edges.join(waiting, ["conv_id", "call_id"], "left_semi").join(closed.select("conv_id", F.col("call_id").alias("before"), "anchor", "steps"), ["conv_id", "before"])
+    joints = settle(joints.select("conv_id", "call_id", "anchor", (F.col("steps") + 1).alias("far")))
+    ready = settle(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
+    done = ready
+    while not waiting.isEmpty() and not ready.isEmpty():
+        near = ready.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base"))
+        met = joints.join(near, ["conv_id", "anchor"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max(F.col("base") + F.col("far")).alias("high"))
+        now = settle(waiting.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", "high").alias("level")))
+        ready, waiting = now.where("open = 0").select("conv_id", "call_id", "level"), now.where("open > 0")
         done = done.unionByName(ready)
-    return done
+    heads = done.withColumnsRenamed({"call_id": "anchor", "level": "base"})
+    return closed.join(heads, ["conv_id", "anchor"]).select("conv_id", "call_id", (F.col("base") + F.col("steps")).cast("int").alias("level"))
 
 
 def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:

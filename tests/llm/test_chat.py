@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from contextkit.llm import op02_chat as op
@@ -54,3 +55,22 @@ def test_query(spark, tmp_path):
 def test_empty_table(spark):
     assert op.link_tool_calls(*op.implicit_calls(spark.createDataFrame([], SCHEMA))).collect() == []
     assert op.levels(op.explicit_calls(spark.createDataFrame([], SCHEMA))[0]).agg(F.count("*")).first()[0] == 0
+
+
+def test_levels_of_random_graphs(spark):
+    rng = np.random.default_rng(6)
+    calls, want = [], {}
+    for conv in range(6):
+        n = 40
+        after = {k: [int(x) for x in rng.choice(k, min(k, [1, 1, 1, 2, 3][rng.integers(5)]), replace=False)] if k and rng.integers(8) else [] for k in range(n)}
+        after[7] = [7] if conv == 2 else after[7]
+        after[5] = [30] if conv == 3 else after[5]  # perhaps a cycle
+        level = {}
+        for _ in range(n):
+            level |= {k: max([-1, *(level[d] for d in after[k])]) + 1 for k in after if all(d in level for d in after[k])}
+        calls += [(conv, str(k), [*map(str, after[k]), "nowhere"]) for k in after]
+        want |= {(conv, str(k)): v for k, v in level.items()}
+    got = op.levels(spark.createDataFrame(calls, "conv_id long, call_id string, after array<string>"))
+    assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == want
+    chain = spark.range(1000).selectExpr("1L AS conv_id", "string(id) AS call_id", "array(string(id - 1)) AS after")
+    assert op.levels(chain).where("level = int(call_id)").count() == 1000
