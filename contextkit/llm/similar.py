@@ -25,7 +25,8 @@ from contextkit.llm.windows import U, mix
 BANDS, DEEP = 20, 5  # a pair of similarity 0.8 shares none of the bands with a chance of 0.0004
 BINS = 512
 DOUBT = 0.08  # sketches tell similarity within this, at 4.5 standard deviations
-CELL = 8  # members of a band key that are compared with each other, on average
+CELL = 8  # members of a band key that are compared with each other at first, on average
+BLOCK = 512  # members of a band key on each side of a later comparison, on average
 _TIMES = np.random.default_rng(5).integers(0, 1 << 31, BANDS * DEEP, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _SKETCHED = "doc_id long, text_hash long, row long, set long, fp long, sketch binary, bands array<long>"
 
@@ -59,14 +60,21 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(used).tobytes() + byte.tobytes()
 
 
-def estimates(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Jaccard similarity of pairs of sets, from their sketches."""
-    raw = [np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b)]
-    (ua, va), (ub, vb) = ((np.unpackbits(r[:, : BINS // 8], axis=1).astype(bool), r[:, BINS // 8 :]) for r in raw)
+def opened(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.unpackbits(raw[:, : BINS // 8], axis=1).astype(bool), raw[:, BINS // 8 :]
+
+
+def compared(ua: np.ndarray, va: np.ndarray, ub: np.ndarray, vb: np.ndarray) -> np.ndarray:
     same, any_ = (ua & ub & (va == vb)).sum(1), np.maximum(1, (ua | ub).sum(1))
     return np.maximum(0, (same / any_ - 1 / 256) / (1 - 1 / 256))
 
 
+def estimates(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Jaccard similarity of pairs of sets, from their sketches."""
+    return compared(*opened(a), *opened(b))
+
+
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, text_hash, row, set, fp, sketch and bands of each row of ``docs`` with a doc_id; ``set`` names its set of shingles."""
 
@@ -87,25 +95,69 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(make, _SKETCHED)
 
 
-def candidates(reps: DataFrame, budget: int) -> DataFrame:
-    """Distinct pairs (a, b) of sets that may be similar.
+def candidates(reps: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of sets that may be similar; and (key, set) of the groups that these do not exhaust.
 
     Sets that share a band key: small groups as pairs, larger ones in cells of
-    about CELL members, each with one leader of all cells besides.  And sets
+    about CELL members, each with one leader of all cells besides: the member
+    that shares most keys, as an original does among its copies.  And sets
     that the trie join over their SimHash prints links.
     """
     keys = reps.select(F.explode("bands").alias("key"), "set")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("lead")).where("n > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(keys.join(shared, "key").withColumn("cell", F.expr(f"pmod(xxhash64(set, key), cast(ceil(n / {CELL}) as bigint))")))
     left, right = members.select("key", "cell", F.col("set").alias("a")), members.select("key", "cell", F.col("set").alias("b"))
     pairs = left.join(right, ["key", "cell"]).where("a < b").select("a", "b")
-    pairs = pairs.unionByName(members.where(f"n > {CELL} AND set <> lead").select(F.col("lead").alias("a"), F.col("set").alias("b")))
+    large = members.where(f"n > {CELL}").select("key", "set", "n")
+    weight = large.groupBy("set").agg(F.sum("n").alias("weight"))
+    leads = settle(large.join(weight, "set").groupBy("key").agg(F.max(F.struct("weight", "set")).alias("most")).select("key", F.col("most.set").alias("lead")))
+    led = large.join(leads, "key").where("set <> lead")
+    pairs = pairs.unionByName(led.select(F.least("lead", "set").alias("a"), F.greatest("lead", "set").alias("b")))
 
     prints = settle(reps.groupBy("fp").agg(F.min("set").alias("first")))
     named = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("first").alias(name))
     near = links(prints.select("fp"), budget).withColumnsRenamed({"a": "fa", "b": "fb"}).join(named("fa", "a"), "fa").join(named("fb", "b"), "fb").select("a", "b")
     near = near.unionByName(reps.join(prints, "fp").select(F.col("first").alias("a"), F.col("set").alias("b")))
-    return pairs.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a < b").distinct()
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(near).where("a < b").distinct(), large.select("key", "set")
+
+
+def across(groups: DataFrame, reps: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) as sketches tell it, from ``least`` on: of all pairs in ``groups`` (key, set) whose sets are not in one class.
+
+    A group's members in its largest class are compared with the rest, and the
+    rest among themselves, block against block: both sides are dealt to blocks
+    of about BLOCK, so no task holds a group.
+    """
+    own = F.coalesce("label", "set").alias("label")
+    members = settle(groups.join(label.withColumnRenamed("node", "set"), "set", "left").select("key", "set", own))
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    blocks = lambda n: F.expr(f"cast(ceil(({n}) / {BLOCK}) as bigint)")
+    sizes = settle(sizes.select("key", F.col("most.label").alias("main"), blocks("most.n").alias("mains"), blocks("n - most.n").alias("rests")))
+    deal = "CASE WHEN label = main THEN rests + pmod(xxhash64(set, key), mains) ELSE pmod(xxhash64(set, key), rests) END"
+    dealt = settle(members.join(sizes, "key").withColumn("block", F.expr(deal)))
+    others = "sequence(0L, CASE WHEN label = main THEN rests ELSE rests + mains END - 1)"
+    dealt = dealt.join(reps.select("set", "sketch"), "set").withColumn("other", F.explode(F.expr(others)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "label", "sketch")
+
+    def compare(unit: pa.Table) -> pa.Table:
+        block, name, of = (unit[c].to_numpy() for c in ("block", "set", "label"))
+        i, j = unit["i"][0].as_py(), unit["j"][0].as_py()
+        used, value = opened(unit["sketch"].to_pylist())
+        right = np.flatnonzero(block == j)
+        a, b, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for x in np.flatnonzero(block == i):
+            y = right[of[right] != of[x]]
+            y = y[y > x] if i == j else y
+            near = compared(used[x][None], value[x][None], used[y], value[y])
+            y, near = y[near >= least], near[near >= least]
+            a.append(np.minimum(name[x], name[y]))
+            b.append(np.maximum(name[x], name[y]))
+            found.append(near)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "similarity": np.concatenate(found)})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
 def both_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -150,6 +202,20 @@ def exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> D
     return both_sides(pairs.select("a", "b"), settle(own), "shingles").mapInArrow(measure, "a long, b long, similarity double")
 
 
+def linked(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, label) of the classes that ``pairs`` (a, b, similarity as sketches tell it) make of ``known`` ones (node, label)."""
+    sure = pairs.where(F.col("similarity") >= similarity + DOUBT).select("a", "b")
+    if known is not None:
+        sure = sure.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    label = components(sure)
+    apart = pairs.where(F.col("similarity") < similarity + DOUBT).select("a", "b")
+    for side in ("a", "b"):
+        apart = apart.join(label.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}")), side, "left")
+    doubtful = settle(apart.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"))
+    found = settle(exact(doubtful, docs, reps, shingle).where(F.col("similarity") >= similarity).select("a", "b"))
+    return components(sure.unionByName(found))
+
+
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_hash and set of each row with a doc_id; set, component_id and label of its class.
 
@@ -160,15 +226,12 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = settle(sketched(docs, shingle))
     least = rows.groupBy("set").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
     reps = settle(rows.join(least, ["set", "row"]).select("set", "doc_id", "text_hash", "least", "fp", "sketch", "bands"))
-    pairs = settle(estimated(candidates(reps, budget), reps).where(F.col("similarity") >= similarity - DOUBT))
-    sure = pairs.where(F.col("similarity") >= similarity + DOUBT).select("a", "b")
-    label = components(sure)
-    apart = pairs.where(F.col("similarity") < similarity + DOUBT).select("a", "b")
-    for side in ("a", "b"):
-        apart = apart.join(label.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}")), side, "left")
-    doubtful = settle(apart.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"))
-    found = settle(exact(doubtful, docs, reps, shingle).where(F.col("similarity") >= similarity).select("a", "b"))
-    label = components(sure.unionByName(found))
+    pairs, groups = candidates(reps, budget)
+    pairs = settle(estimated(pairs, reps).where(F.col("similarity") >= similarity - DOUBT))
+    label = linked(pairs, None, docs, reps, shingle, similarity)
+    more = settle(across(groups, reps, label, similarity - DOUBT))
+    if not more.isEmpty():
+        label = linked(more, label, docs, reps, shingle, similarity)
     named = reps.select("set", "least").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     named = settle(named.select("set", "label", "least"))
     smallest = settle(named.groupBy("label").agg(F.min("least").alias("component_id")))

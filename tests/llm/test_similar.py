@@ -57,6 +57,35 @@ def test_many_near_copies_of_one_document(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 300]
 
 
+def test_star_of_copies_unlike_each_other(spark):
+    """Each copy is similar to the original only: 0.82 to it, about 0.68 to other copies."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    text = " ".join(rng.choice(words, 400))
+    docs = [(900, text), *((i, edited(rng, words, text, 8)) for i in range(500)), (901, " ".join(rng.choice(words, 400)))]
+    rows, found = similar.similar_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in rows.join(found, "set").collect()}
+    assert sum(got[i] == 0 for i in (*range(500), 900)) == 501 and got[901] == 901
+
+
+def test_groups_are_exhausted(spark, monkeypatch):
+    """No cells, so that leaders alone come first, and blocks of few: what leaders leave is found across blocks."""
+    monkeypatch.setattr(similar, "CELL", 1)
+    monkeypatch.setattr(similar, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for _ in range(3):
+        text = " ".join(rng.choice(words, 200))
+        for share in (0.02, 0.045):  # edits of edits, too
+            docs += [edited(rng, words, text, int(200 * share)) for _ in range(20)]
+            text = docs[-1]
+    docs = list(zip(rng.permutation(len(docs)).tolist(), docs, strict=True))
+    rows, found = similar.similar_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in rows.join(found, "set").collect()}
+    assert [got[i] for i, _ in docs] == brute_classes(docs)
+
+
 def test_odd_documents(spark):
     docs = cases.documents(spark)
     kept = similar.drop_near_copies(docs)
