@@ -96,12 +96,14 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of sets that may be similar; and (key, set) of the groups that these do not exhaust.
+    """Distinct pairs (a, b) of sets that may be similar; and (key, reach, set) of the groups that these do not exhaust.
 
     Sets that share a band key: small groups as pairs, larger ones in cells of
     about CELL members, each with one leader of all cells besides: the member
     that shares most keys, as an original does among its copies.  And sets
-    that the trie join over their SimHash prints links.
+    that the trie join over their SimHash prints links: its edges are a star
+    for each class, so each class is a group too, of pairs whose prints differ
+    in ``reach`` bits at most.
     """
     keys = reps.select(F.explode("bands").alias("key"), "set")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -116,40 +118,46 @@ def candidates(reps: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
 
     prints = settle(reps.groupBy("fp").agg(F.min("set").alias("first")))
     named = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("first").alias(name))
-    near = links(prints.select("fp"), budget).withColumnsRenamed({"a": "fa", "b": "fb"}).join(named("fa", "a"), "fa").join(named("fb", "b"), "fb").select("a", "b")
+    stars = settle(links(prints.select("fp"), budget))
+    near = stars.withColumnsRenamed({"a": "fa", "b": "fb"}).join(named("fa", "a"), "fa").join(named("fb", "b"), "fb").select("a", "b")
     near = near.unionByName(reps.join(prints, "fp").select(F.col("first").alias("a"), F.col("set").alias("b")))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(near).where("a < b").distinct(), large.select("key", "set")
+    key = F.coalesce("label", "fp").alias("key")
+    chained = settle(reps.join(components(stars).withColumnRenamed("node", "fp"), "fp", "left").select(key, F.lit(budget).alias("reach"), "set"))
+    chained = chained.join(chained.groupBy("key").count().where("count > 2").select("key"), "key", "left_semi")
+    groups = large.select("key", F.lit(64).alias("reach"), "set").unionByName(chained)
+    return pairs.unionByName(near).where("a < b").distinct(), groups
 
 
 def across(groups: DataFrame, reps: DataFrame, label: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) as sketches tell it, from ``least`` on: of all pairs in ``groups`` (key, set) whose sets are not in one class.
+    """(a, b, similarity) as sketches tell it, from ``least`` on: of all pairs in ``groups`` (key, reach, set) whose sets are not in one class.
 
     A group's members in its largest class are compared with the rest, and the
     rest among themselves, block against block: both sides are dealt to blocks
     of about BLOCK, so no task holds a group.
     """
     own = F.coalesce("label", "set").alias("label")
-    members = settle(groups.join(label.withColumnRenamed("node", "set"), "set", "left").select("key", "set", own))
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    members = settle(groups.join(label.withColumnRenamed("node", "set"), "set", "left").select("key", "reach", "set", own))
+    sizes = members.groupBy("key", "reach", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key", "reach").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
     blocks = lambda n: F.expr(f"cast(ceil(({n}) / {BLOCK}) as bigint)")
-    sizes = settle(sizes.select("key", F.col("most.label").alias("main"), blocks("most.n").alias("mains"), blocks("n - most.n").alias("rests")))
+    sizes = settle(sizes.select("key", "reach", F.col("most.label").alias("main"), blocks("most.n").alias("mains"), blocks("n - most.n").alias("rests")))
     deal = "CASE WHEN label = main THEN rests + pmod(xxhash64(set, key), mains) ELSE pmod(xxhash64(set, key), rests) END"
-    dealt = settle(members.join(sizes, "key").withColumn("block", F.expr(deal)))
+    dealt = settle(members.join(sizes, ["key", "reach"]).withColumn("block", F.expr(deal)))
     others = "sequence(0L, CASE WHEN label = main THEN rests ELSE rests + mains END - 1)"
-    dealt = dealt.join(reps.select("set", "sketch"), "set").withColumn("other", F.explode(F.expr(others)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "label", "sketch")
+    dealt = dealt.join(reps.select("set", "fp", "sketch"), "set").withColumn("other", F.explode(F.expr(others)))
+    dealt = dealt.select("key", "reach", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "label", "fp", "sketch")
 
     def compare(unit: pa.Table) -> pa.Table:
-        block, name, of = (unit[c].to_numpy() for c in ("block", "set", "label"))
-        i, j = unit["i"][0].as_py(), unit["j"][0].as_py()
+        block, name, of, fp = (unit[c].to_numpy() for c in ("block", "set", "label", "fp"))
+        i, j, reach = (unit[c][0].as_py() for c in ("i", "j", "reach"))
         used, value = opened(unit["sketch"].to_pylist())
         right = np.flatnonzero(block == j)
         a, b, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for x in np.flatnonzero(block == i):
             y = right[of[right] != of[x]]
             y = y[y > x] if i == j else y
+            y = y[np.bitwise_count((fp[x] ^ fp[y]).view(U)) <= reach]
             near = compared(used[x][None], value[x][None], used[y], value[y])
             y, near = y[near >= least], near[near >= least]
             a.append(np.minimum(name[x], name[y]))
@@ -157,7 +165,7 @@ def across(groups: DataFrame, reps: DataFrame, label: DataFrame, least: float) -
             found.append(near)
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "similarity": np.concatenate(found)})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
+    return dealt.groupBy("key", "reach", "i", "j").applyInArrow(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
 def both_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:

@@ -86,6 +86,23 @@ def test_groups_are_exhausted(spark, monkeypatch):
     assert [got[i] for i, _ in docs] == brute_classes(docs)
 
 
+def test_pairs_within_a_class_of_prints(spark):
+    """B and C are similar and within the budget; the root of their class of prints, A, is similar to neither."""
+    rng = np.random.default_rng(10)
+    one, other = (np.unique(rng.integers(0, 1 << 63, 300, np.uint64)) for _ in range(2))
+    nearly = np.sort(np.append(one[1:], np.uint64(7)))
+    # bands that no two share: only the prints make candidates
+    rows = [(i, i, 0, i, fp, similar.sketch(h), [3 * i + 1000]) for i, fp, h in ((1, 0, other), (2, 1, one), (3, 2, nearly))]
+    reps = spark.createDataFrame(rows, "set long, doc_id long, text_hash long, least long, fp long, sketch binary, bands array<long>")
+    pairs, groups = similar.candidates(reps, 3)
+    first = similar.estimated(pairs, reps).where("similarity >= 0.72")
+    none = spark.createDataFrame([], "node long, label long")
+    more = similar.across(groups, reps, none, 0.72)
+    assert {(r.a, r.b) for r in first.union(more).collect()} == {(2, 3)}
+    # prints 2 bits apart are beyond a budget of 1, though their class is the same
+    assert similar.across(similar.candidates(reps, 1)[1], reps, none, 0.72).isEmpty()
+
+
 def test_odd_documents(spark):
     docs = cases.documents(spark)
     kept = similar.drop_near_copies(docs)
