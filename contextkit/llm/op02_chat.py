@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contextkit.llm._common import settle, table
@@ -108,14 +108,45 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
     return F.when(arguments.isNull(), F.array(F.lit("not JSON"))).otherwise(out)
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+def left_over(messages: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv_id, turn, call_id, item) of what is neither a call nor the result of one.
+
+    Turns that are neither user's nor assistant's, whole; results without a
+    call (orphan), and all but the first of a call (repeated).  turn and
+    call_id name the call whose row holds the item: the next one of the
+    conversation, or the last if none follows; they are null if it has none.
+    Turns without conv_id or turn are left out, as in implicit_calls.
+    """
+    item = lambda kind, name, role, text, turn: F.struct(turn.alias("turn"), kind.alias("kind"), role.alias("role"), name.alias("id"), text.alias("text"))
+    known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND coalesce(role, '') NOT IN ('user', 'assistant')")
+    nothing = F.lit(None).cast("string")
+    items = known.select("conv_id", item(F.lit("turn"), nothing, F.col("role"), F.col("text"), F.col("turn")).alias("item"))
+    called = calls.where("call_id IS NOT NULL").select("conv_id", "call_id").distinct().withColumn("called", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("result_turn", "result"))
+    rest = results.withColumn("nth", nth).join(called, ["conv_id", "call_id"], "left").where("called IS NULL OR nth > 1")
+    kind = F.when(F.col("called"), "repeated").otherwise("orphan")
+    items = settle(items.unionByName(rest.select("conv_id", item(kind, F.col("call_id"), F.lit("result"), F.col("result"), F.col("result_turn")).alias("item"))))
+
+    homes = settle(calls.where("conv_id IS NOT NULL AND turn IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("call_id").alias("call_id")))
+    places = items.select("conv_id", F.col("item.turn").alias("turn")).distinct()
+    marks = homes.select("conv_id", "turn", F.lit(True).alias("home")).unionByName(places.select("conv_id", "turn", F.lit(False).alias("home")))
+    later = F.last(F.when(F.col("home"), F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("home")).rowsBetween(Window.unboundedPreceding, 0))
+    last = homes.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    found = marks.withColumn("later", later).where("NOT home").join(last, "conv_id", "left").select("conv_id", F.col("turn").alias("at"), F.coalesce("later", "last").alias("turn"))
+    found = settle(found.join(homes, ["conv_id", "turn"], "left"))
+    here = found.withColumnRenamed("conv_id", "conv")
+    return items.join(here, (items.conv_id.eqNullSafe(here.conv)) & items["item.turn"].eqNullSafe(here["at"]), "left").select("conv_id", "turn", "call_id", "item")
+
+
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, others: DataFrame | None = None) -> DataFrame:
     """One row for each call: its result, level, problems and canonical JSON.
 
     The first result of an identifier, by turn, then text, is its result; a
     call without one has a null result.  Repeated calls of an identifier each
     have a row.  Null identifiers are linked to nothing and have no level.
     Canonical JSON has keys in order and no white space; arguments that are
-    not JSON, or repeat a key, are left out of it.
+    not JSON, or repeat a key, are left out of it.  With the rows of
+    ``left_over`` as ``others``, a call's JSON lists its items as "unlinked".
     """
     first = results.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "result")).alias("r"))
     first = first.select("conv_id", "call_id", "r.result_turn", "r.result")
@@ -123,12 +154,25 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMA
     keys = ["conv_id", "call_id"]
     out = calls.join(first.hint("shuffle_hash"), keys, "left").join(levels(calls), keys, "left")
     out = out.withColumn("problems", problems(F.col("name"), F.col("parsed"), schemas))
-    text = F.to_json(F.struct(F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "level", "name", "result", "result_turn", "turn"))
+    parts = [F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "level", "name", "result", "result_turn", "turn"]
+    if others is not None:
+        held = others.where("call_id IS NOT NULL").groupBy("conv_id", "turn", "call_id").agg(F.array_sort(F.collect_list("item")).alias("unlinked"))
+        out = out.join(held, ["conv_id", "turn", "call_id"], "left")
+        parts.append(F.transform("unlinked", in_order).alias("unlinked"))
+    text = F.to_json(F.struct(*parts))
     return out.select("conv_id", "call_id", "turn", "name", "level", "result_turn", "problems", text.alias("json"))
 
 
+def in_order(item: Column) -> Column:
+    return F.struct(*(item[k].alias(k) for k in ("id", "kind", "role", "text", "turn")))
+
+
 def op2_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     (calls, results), (more_calls, more_results) = implicit_calls(messages), explicit_calls(messages)
-    linked = link_tool_calls(calls.unionByName(more_calls), results.unionByName(more_results))
-    return linked.select("conv_id", "call_id", "turn", "name", "level", "result_turn", F.size("problems").alias("n_problems"), "json")
+    calls, results = calls.unionByName(more_calls), results.unionByName(more_results)
+    others = settle(left_over(messages, calls, results))
+    linked = link_tool_calls(calls, results, others=others).withColumn("n_problems", F.size("problems")).drop("problems")
+    none = lambda name: F.lit(None).cast(linked.schema[name].dataType).alias(name)
+    alone = others.where("call_id IS NULL").select("conv_id", none("call_id"), F.col("item.turn").alias("turn"), none("name"), none("level"), none("result_turn"), none("n_problems"), F.to_json(in_order(F.col("item"))).alias("json"))
+    return linked.unionByName(alone).select("conv_id", "call_id", "turn", "name", "level", "result_turn", "n_problems", "json")

@@ -52,6 +52,19 @@ def test_query(spark, tmp_path):
     assert json.loads(got["7-1"].json)["result"] == "é 😀\n"
 
 
+def test_no_turn_and_no_result_is_lost(spark, tmp_path):
+    result = lambda i, text: f'<tool_result>{{"id": "{i}", "content": "{text}"}}</tool_result>'
+    rows = [(1, 0, "system", "rules"), (1, 1, "user", "hello"), (1, 2, "assistant", "fine"), (1, 3, "assistant", "more"), (1, 4, "system", "middle"), (1, 5, "user", call("a")), (1, 6, "tool", result("a", "first") + result("a", "second") + result("b", "stray"))]
+    rows += [(2, 0, "system", "only"), (2, 1, "assistant", "said"), (3, 0, None, "unknown")]
+    spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op.op2_format_chats(spark, str(tmp_path)).collect()
+    made = [(r.conv_id, r.call_id, json.loads(r.json)) for r in got]
+    held = {k: [(x["turn"], x["kind"], x["text"]) for x in j.get("unlinked", []) if x["turn"] != 6 or x["kind"] != "turn"] for _, k, j in made if k}
+    assert held == {"1-1": [(0, "turn", "rules")], "1-5": [(3, "orphan", "more"), (4, "turn", "middle"), (6, "orphan", "stray"), (6, "repeated", "second")], "a": []}
+    assert sorted((c, j["kind"], j["text"]) for c, k, j in made if not k) == [(2, "orphan", "said"), (2, "turn", "only"), (3, "turn", "unknown")]
+    assert all(r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":")) for r in got)
+
+
 def test_empty_table(spark):
     assert op.link_tool_calls(*op.implicit_calls(spark.createDataFrame([], SCHEMA))).collect() == []
     assert op.levels(op.explicit_calls(spark.createDataFrame([], SCHEMA))[0]).agg(F.count("*")).first()[0] == 0
