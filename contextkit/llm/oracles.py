@@ -11,8 +11,10 @@ words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d
 windows AS (SELECT doc_id, k, CASE WHEN lead(w, 12) OVER o IS NOT NULL THEN concat_ws(' ', w, {_LEADS}) END AS win FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
 first AS (SELECT win, min(doc_id) AS first_doc FROM windows WHERE win IS NOT NULL GROUP BY win),
 gone AS (SELECT DISTINCT doc_id, k + unnest(range(13)) AS k FROM windows JOIN first USING (win) WHERE first_doc < doc_id),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS kept FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
-SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS kept FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+spans AS (SELECT doc_id, count(*) AS n_spans FROM gone ANTI JOIN (SELECT doc_id, k + 1 AS k FROM gone) USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 _OP3_WORDS = rf"coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
