@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """A row of ``docs`` as one struct column "row": beside it, no column of an operator clashes with one of the user's."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; it sets partition counts only, never results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -41,8 +46,8 @@ def scratch(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             base = jvm_dir.get()
-        else:  # nothing is configured: a single machine, as in tests
-            base = "file:///tmp/contextkit-checkpoints"
+        else:
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share: intermediate tables are written there")
     return f"{base.rstrip('/')}/contextkit-{uuid.uuid4().hex}"
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextkit.llm._common import table
+from contextkit.llm._common import table, whole_row
 from contextkit.llm.fmindex import FMIndex
 from contextkit.llm.windows import covered
 
@@ -168,9 +168,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFra
     found = F.expr(f"named_struct('spans', cast(array() as array<{_SPAN}>), 'items', cast(array() as array<string>))")
     for phrases in _passes(benchmark, width):
         found = _leaks_of(phrases)(F.col("text"), found)
-    long_run = F.exists("leak_.spans", lambda s: s["end"] - s["first"] >= width)
-    marked = docs.withColumn("leak_", found)
-    return marked.where(~F.coalesce(long_run | (F.size("leak_.items") >= 2), F.lit(False))).select(*docs.columns)
+    long_run = F.exists("leak.spans", lambda s: s["end"] - s["first"] >= width)
+    marked = docs.select(whole_row(docs), found.alias("leak"))
+    return marked.where(~F.coalesce(long_run | (F.size("leak.items") >= 2), F.lit(False))).select("row.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,8 +79,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         rows.unpersist()
 
 
-def toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with their score from 0 to 1 in a column; null and empty texts have that of a text without hits."""
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text from 0 to 1; null and empty texts have that of a text without hits."""
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -88,13 +88,21 @@ def toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for t in texts:
             yield model.scores(t, scorer)
 
-    return docs.withColumn(column, score(F.col("text")))
+    return score(text)
+
+
+def toxicity(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with their score in ``column``, which takes the place of a column of that name."""
+    return docs.withColumn(column, score_of(F.col("text"), model))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` whose score is below ``threshold``, with their own columns."""
-    model = train(docs, labels)
-    return toxicity(docs, model, "toxicity_score").where(F.col("toxicity_score") < threshold).select(*docs.columns)
+    """``docs`` whose score is below ``threshold``, with their own columns.
+
+    Null and empty texts stay, as do all rows where no label is known.
+    Repeated rows are judged each.
+    """
+    return docs.where(score_of(F.col("text"), train(docs, labels)) < threshold)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contextkit.llm._common import settle, table
+from contextkit.llm._common import settle, table, whole_row
 
 LANGUAGE_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 LEAF = ("domain", "language", "source_name")
@@ -21,14 +21,15 @@ def _weight(level: str, weights: dict[str, int]) -> Column:
 
 
 def tree(docs: DataFrame) -> DataFrame:
-    """``docs`` with its leaf and its size in tokens, estimated at four UTF-8 bytes each.
+    """Of each row of ``docs``: the row, doc_id, its leaf and its size in tokens, estimated at four UTF-8 bytes each.
 
     A source's domain is one of four, by its name.  Null languages and sources
     count as empty names, a null text as no tokens.
     """
-    named = docs.withColumns({"language": F.coalesce("lang", F.lit("")), "source_name": F.coalesce("source", F.lit(""))})
+    size = F.expr("coalesce((octet_length(text) + 3) div 4, 0L)").alias("size")
+    named = docs.select(whole_row(docs), "doc_id", F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("source_name"), size)
     domain = F.concat(F.lit("d"), F.conv(F.substring(F.md5("source_name"), 1, 1), 16, 10).cast("int") % 4)
-    return named.withColumns({"domain": domain, "size": F.expr("coalesce((octet_length(text) + 3) div 4, 0L)")})
+    return named.withColumn("domain", domain)
 
 
 def budgets(leaves: DataFrame, budget: int, epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
@@ -65,8 +66,8 @@ def _order(seed: int, epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, budget: int | None = None, epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with their leaf, size and copies: how often each is taken, 0 for those left out.
+def taken(docs: DataFrame, budget: int | None = None, epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 17) -> DataFrame:
+    """Of each row of ``docs``: the row, its leaf, size and copies: how often it is taken, 0 if it is left out.
 
     ``budget`` is in tokens, by default as many as ``docs`` has.  A leaf takes
     all its documents in each whole epoch that its budget holds, then in the
@@ -102,13 +103,20 @@ def mix_sources(docs: DataFrame, budget: int | None = None, epochs: int = 2, wei
     bucket = F.call_function("shiftright", F.col("u"), F.lit(60) - F.col("bits"))
     inside = F.col("last").isNull() | (bucket < F.col("last")) | F.coalesce((bucket == F.col("last")) & (ties <= F.col("place")), F.lit(False))
     copies = F.col("whole") + F.when(inside & (F.col("whole") < epochs), 1).otherwise(0)
-    return out.select(*docs.columns, *LEAF, "size", copies.alias("copies"))
+    return out.select("row", *LEAF, "size", copies.alias("copies"))
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the leaf, size and copies of ``taken``; these take the place of columns of the same names."""
+    added = (*LEAF, "size", "copies")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
+    return taken(docs, **options).select(*own, *added)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``mix_sources`` takes, each as often as it is taken, with the columns of ``docs``."""
-    taken = mix_sources(docs, **options).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """The documents that are taken, each as often as it is, with the columns of ``docs``."""
+    some = taken(docs, **options).where("copies > 0")
+    return some.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

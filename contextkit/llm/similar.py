@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextkit.llm._common import settle
+from contextkit.llm._common import settle, whole_row
 from contextkit.llm.components import components
 from contextkit.llm.op10_simhash import links, print_of_hashes, shingle_hashes
 from contextkit.llm.windows import U, mix
@@ -249,13 +249,14 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row left of each class of ``similar_classes``: that of the smallest doc_id.
 
-    Rows without doc_id all stay.  Of repeated rows one stays; of rows that
-    share a doc_id but not their text, each class keeps its own.
+    Rows without doc_id all stay.  Null, empty and blank texts are one class.
+    Of repeated rows one stays, whichever if they differ in other columns; of
+    rows that share a doc_id but not their text, each class keeps its own.
     """
     rows, found = similar_classes(docs, shingle, similarity)
     first = rows.join(found.withColumnRenamed("component_id", "doc_id"), ["set", "doc_id"])
-    kept = settle(first.groupBy("label").agg(F.min("doc_id").alias("id_"), F.min("text_hash").alias("hash_"), F.count("*").alias("times_")))
-    keyed = docs.withColumn("text_hash_", F.xxhash64("text"))
-    stay = keyed.join(kept, (keyed.doc_id == kept.id_) & (keyed.text_hash_ == kept.hash_))
-    repeats = stay.where(kept.times_ > 1).select(*(keyed[c] for c in docs.columns)).dropDuplicates(["doc_id", "text"])
-    return stay.where(kept.times_ == 1).select(*(keyed[c] for c in docs.columns)).unionByName(repeats).unionByName(docs.where("doc_id IS NULL"))
+    kept = settle(first.groupBy("label").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("hash"), F.count("*").alias("times")).drop("label"))
+    keyed = docs.select(whole_row(docs), "doc_id", "text", F.xxhash64("text").alias("hash"))
+    stay = keyed.join(kept, ["doc_id", "hash"])
+    repeats = stay.where("times > 1").dropDuplicates(["doc_id", "text"])
+    return stay.where("times = 1").unionByName(repeats).select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -70,13 +70,13 @@ def test_mixing(spark, monkeypatch, bucket):
     monkeypatch.setattr(mix, "BUCKET", bucket)  # 1: many buckets in a leaf
     rng = np.random.default_rng(2)
     rows = cases.rows() + [(100 + i, "t" * int(rng.integers(0, 60)), ["en", "de", "fr", None][i % 4], f"src{i % 7}", None, *"abcdef") for i in range(150)]
-    got = mix.mix_sources(spark.createDataFrame(rows, cases.SCHEMA).drop("size", "copies"))
+    got = mix.mix_sources(spark.createDataFrame(rows, cases.SCHEMA))
     want = Counter((r[0], r[1], r[3], n) for r, n in zip(rows, (lambda d: [d[k] for k in range(len(rows))])(brute_copies(rows)), strict=True))
     assert Counter((r.doc_id, r.text, r.source, r.copies) for r in got.collect()) == want
 
 
 def test_mixing_nothing(spark):
-    assert mix.mix_sources(cases.no_documents(spark).drop("size", "copies")).collect() == []
+    assert mix.mix_sources(cases.no_documents(spark)).collect() == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -164,3 +164,20 @@ def test_pipeline(spark, tmp_path):
     assert sum(r.n_tokens for r in seen["token_output"].collect()) == whole
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(map(str, run.collect())) == Counter(map(str, seen["token_output"].collect()))
+
+
+CLASHES = "size domain language source_name copies copy rest whole bits last place u col row toxicity_score score leak spans items id_ hash times set label component_id n_words shard word count".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(*r[:5], *(f"{c} of {k}" for c in CLASHES)) for k, r in enumerate(cases.rows())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    spark.createDataFrame([(1, 0), (15, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "never there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = set(map(str, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = list(map(str, out.collect()))
+        assert kept and set(kept) <= given, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
