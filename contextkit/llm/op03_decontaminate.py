@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextkit.llm._common import table, whole_row
+from contextkit.llm._common import settle, table, whole_row
 from contextkit.llm.fmindex import FMIndex
 from contextkit.llm.windows import covered
 
@@ -42,8 +42,8 @@ class Phrases:
             self.by_length[n] = np.array([[self.number[w] for w in p] for p in own], np.int64), [sorted(found[p]) for p in own]
 
 
-def search_shard(phrases: Phrases, docs: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """Of each document: words, merged spans of hit words (first, end), and items that occur.
+def search_shard(phrases: Phrases, docs: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str], int]]:
+    """Of each document: words, merged spans of hit words (first, end), items that occur, and words of the longest phrase that does.
 
     Words that no phrase has count as separators; a run of them is one entry of the index.
     """
@@ -54,7 +54,7 @@ def search_shard(phrases: Phrases, docs: list[str | None]) -> list[tuple[int, li
     for a, w in zip(at, word_lists, strict=False):
         s[a : a + len(w)] = np.fromiter(map(phrases.number.get, w, repeat(0)), np.int64, len(w))
     keep = np.flatnonzero((s != 0) | np.concatenate(([True], s[:-1] != 0)))
-    hit, items = np.zeros(len(s), bool), [set() for _ in docs]
+    hit, items, longest = np.zeros(len(s), bool), [set() for _ in docs], [0] * len(docs)
     if phrases.number:
         index = FMIndex(s[keep], len(phrases.number) + 1)
         for n, (matrix, own) in phrases.by_length.items():
@@ -64,20 +64,22 @@ def search_shard(phrases: Phrases, docs: list[str | None]) -> list[tuple[int, li
             pairs = np.unique(np.stack((np.searchsorted(at, where, "right") - 1, phrase)), axis=1)
             for d, p in zip(*pairs.tolist(), strict=True):
                 items[d].update(own[p])
+                longest[d] = max(longest[d], n)
     out = []
     for k, n in enumerate(size.tolist()):
         edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[at[k] : at[k] + n].view(np.int8), [0]))))
-        out.append((n, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), items[k]))
+        out.append((n, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), items[k], longest[k]))
     return out
 
 
-def _passes(benchmark: DataFrame, width: int) -> list[Phrases]:
-    """The benchmark in parts of bounded size."""
+def _passes(benchmark: DataFrame, width: int) -> Iterator[Phrases]:
+    """The benchmark in parts of bounded size, one at a time."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // PASS_BYTES) or 1
     part = lambda i: items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-    return [Phrases([(r[0], r[1]) for r in part(i).toLocalIterator()], width) for i in range(n)]
+    for i in range(n):
+        yield Phrases([(r[0], r[1]) for r in part(i).toLocalIterator()], width)
 
 
 FOUND = "n_words long, spans array<struct<first: long, end: long>>, items array<string>"
@@ -90,24 +92,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFra
     window.  Null texts have no words; items without item_id or text take no
     part; items of one item_id count as one.  Each row of ``docs`` is judged
     by itself.  A benchmark beyond PASS_BYTES takes several passes, each of
-    which adds its findings to those before.
+    which adds its findings to those before, and is written before the next:
+    driver and tasks hold one part of the benchmark at a time.
     """
     base = docs.select("doc_id", "text")
     out = base.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<first: long, end: long>>)"), "items": F.expr("cast(array() as array<string>)")})
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-    for phrases in _passes(benchmark, width):
+    for number, phrases in enumerate(_passes(benchmark, width)):
+        out = settle(out) if number else out
 
         def search(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             def shard(got: list[dict]) -> pa.RecordBatch:
                 found = search_shard(phrases, [r["text"] for r in got])
-                merged = [_merge([(x["first"], x["end"]) for x in r["spans"]] + spans) for r, (_, spans, _) in zip(got, found, strict=True)]
+                merged = [_merge([(x["first"], x["end"]) for x in r["spans"]] + spans) for r, (_, spans, _, _) in zip(got, found, strict=True)]
                 return pa.RecordBatch.from_arrays(
                     [
                         pa.array([r["doc_id"] for r in got], pa.int64()),
                         pa.array([r["text"] for r in got], pa.string()),
-                        pa.array([n for n, _, _ in found], pa.int64()),
+                        pa.array([n for n, *_ in found], pa.int64()),
                         pa.array([[{"first": a, "end": b} for a, b in m] for m in merged], spans_type),
-                        pa.array([sorted(items.union(r["items"])) for r, (_, _, items) in zip(got, found, strict=True)], pa.list_(pa.string())),
+                        pa.array([sorted(items.union(r["items"])) for r, (_, _, items, _) in zip(got, found, strict=True)], pa.list_(pa.string())),
                     ],
                     ["doc_id", "text", "n_words", "spans", "items"],
                 )
@@ -137,13 +141,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SPAN = "struct<first: long, end: long>"
+_LEAK = "items array<string>, longest int"
 
 
 def _leaks_of(phrases: Phrases):
-    """A UDF that adds to a column of spans and items what ``phrases`` find in a column of texts."""
+    """A UDF that adds what ``phrases`` find in a column of texts to a column of _LEAK."""
 
-    @F.pandas_udf(f"spans array<{_SPAN}>, items array<string>")
+    @F.pandas_udf(_LEAK)
     def search(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
         out, got, n = [], [], 0
         for i, t in enumerate(texts):
@@ -152,9 +156,8 @@ def _leaks_of(phrases: Phrases):
             if n >= SHARD_WORDS or i == len(texts) - 1:
                 out += search_shard(phrases, got)
                 got, n = [], 0
-        spans = [_merge([(x["first"], x["end"]) for x in old] + new) for old, (_, new, _) in zip(before["spans"], out, strict=True)]
-        items = [sorted({*old, *new}) for old, (_, _, new) in zip(before["items"], out, strict=True)]
-        return pd.DataFrame({"spans": [[{"first": a, "end": b} for a, b in m] for m in spans], "items": items})
+        items = [sorted({*old, *new}) for old, (_, _, new, _) in zip(before["items"], out, strict=True)]
+        return pd.DataFrame({"items": items, "longest": [max(old, new) for old, (*_, new) in zip(before["longest"], out, strict=True)]})
 
     return search
 
@@ -162,15 +165,16 @@ def _leaks_of(phrases: Phrases):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFrame:
     """``docs`` without those in which ``width`` words of a benchmark item, or two items, occur; with their own columns.
 
-    Each row is judged by its text alone and stays where it is: nothing is
-    shuffled.  Null texts stay.
+    A lone item of fewer words is no leak, however often it occurs.  Each row
+    is judged by its text alone and stays where it is: nothing is shuffled.
+    Null and empty texts stay.
     """
-    found = F.expr(f"named_struct('spans', cast(array() as array<{_SPAN}>), 'items', cast(array() as array<string>))")
-    for phrases in _passes(benchmark, width):
-        found = _leaks_of(phrases)(F.col("text"), found)
-    long_run = F.exists("leak.spans", lambda s: s["end"] - s["first"] >= width)
-    marked = docs.select(whole_row(docs), found.alias("leak"))
-    return marked.where(~F.coalesce(long_run | (F.size("leak.items") >= 2), F.lit(False))).select("row.*")
+    found = F.expr("named_struct('items', cast(array() as array<string>), 'longest', 0)")
+    marked = docs.select(whole_row(docs), "text", found.alias("leak"))
+    for number, phrases in enumerate(_passes(benchmark, width)):
+        marked = settle(marked) if number else marked
+        marked = marked.withColumn("leak", _leaks_of(phrases)(F.col("text"), F.col("leak")))
+    return marked.where((F.col("leak.longest") < width) & (F.size("leak.items") < 2)).select("row.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
