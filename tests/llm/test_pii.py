@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from contextkit.llm import op05_pii as op
 from tests.llm import cases
@@ -50,13 +51,31 @@ def test_base_spans(spark):
 
 
 def test_contexts_discover(spark):
-    rows = [(i, f"word{i} telephone +1 {200 + i} 555-{1000 + i} number {i}") for i in range(40)]
-    rows += [(i, f"word{i} telephone 0{200 + i} 555 {1000 + i} thanks") for i in range(40, 50)]
-    rows += [(i, f"{'the ' * 12}0{200 + i} 555 {1000 + i}, the +1 {200 + i} 555-{1000 + i}") for i in range(50, 70)]
+    rows = [(i, f"word{i} telephone +1 {200 + i} 555-{1000 + i} number {i}") for i in range(120)]
+    rows += [(i, f"word{i} telephone 0{200 + i} 555 {1000 + i} thanks") for i in range(120, 140)]
+    rows += [(i, f"{'the ' * 12}0{200 + i} 555 {1000 + i}, the +1 {200 + i} 555-{1000 + i}") for i in range(140, 160)]
+    # numbers that telephone made known induce the pattern ring, which discovers one that no seed stands beside
+    rows += [(i, f"word{i} ring 0{160 + i} 555 {960 + i}") for i in range(160, 180)]
+    rows += [(180, "word ring 0999 555 9999"), (182, "mail jo@site.org or jo (at) site (dot) org")]
     found = {r.doc_id: r for r in op.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(len(found[i].spans) == len(found[i].base) == 1 for i in range(40))
-    assert all(len(found[i].spans) == 1 and not found[i].base for i in range(40, 50))
-    assert all(found[i].spans == found[i].base for i in range(50, 70))  # an ordinary word discovers nothing
+    assert all(len(found[i].spans) == len(found[i].base) == 1 for i in range(120))
+    assert all(len(found[i].spans) == 1 and not found[i].base for i in range(120, 140))
+    assert all(found[i].spans == found[i].base for i in range(140, 160))  # an ordinary word discovers nothing
+    assert all(len(found[i].spans) == 1 and not found[i].base for i in range(160, 181))
+    assert len(found[182].base) == 1 and len(found[182].spans) == 2
+
+
+def test_long_texts(spark):
+    """50,000 candidates and 50,000 base spans in texts of about a megabyte; places are exact past the first chunk."""
+    loose = " ".join(f"0{200 + i % 700} 555 {10000 + i}x" for i in range(50_000))
+    base = " ".join(f"u{i}@site{i % 9}.org" for i in range(50_000))
+    df = spark.createDataFrame([(1, loose), (2, base), (3, f"é {base[:20_000]} {loose[:20_000]}")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in op.find_pii(df).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1].spans == [] and len(got[2].base) == len(got[2].spans) == 50_000
+    assert [(op.KINDS[m.kind], m.start, m.end) for m in got[2].base] == brute(base)
+    assert [(op.KINDS[m.kind], m.start, m.end) for m in got[3].base] == brute(f"é {base[:20_000]} {loose[:20_000]}")
 
 
 def test_query(spark, tmp_path):
