@@ -72,11 +72,12 @@ def test_fm_index():
     assert len(FMIndex(np.zeros(0, np.int64), 2).search(np.array([[1]]))[0]) == 0
 
 
-@pytest.mark.parametrize("block,first", [(7, 1), (64, 4)])
-def test_top_k(spark, monkeypatch, block, first):
+@pytest.mark.parametrize("block,first,order", [(7, 1, 1 << 20), (64, 4, 8)])
+def test_top_k(spark, monkeypatch, block, first, order):
     monkeypatch.setattr(op7, "BLOCK", block)
     monkeypatch.setattr(op7, "QUERY_BLOCK", 3)
     monkeypatch.setattr(op7, "FIRST", first)
+    monkeypatch.setattr(op7, "ORDER_BYTES", order)  # 8: one query in a block
     rng = np.random.default_rng(9)
     rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(120)]
     rows += [(20, rows[20][1]), (33, rows[33][1]), (40, [1.0, 1.0, 1.0, 1.0, 1.0])]
@@ -91,6 +92,27 @@ def test_top_k(spark, monkeypatch, block, first):
     assert got == sorted(want)
 
 
+def test_most_blocks_are_skipped(spark, monkeypatch):
+    """30 clusters and a vector that 300 rows repeat, in 40 blocks: bounds settle most pairs, ties do not keep blocks open."""
+    monkeypatch.setattr(op7, "BLOCK", 32)
+    monkeypatch.setattr(op7, "FIRST", 2)
+    rng = np.random.default_rng(6)
+    centres = rng.choice([-1.0, 1.0], (30, 16))
+    m = np.concatenate((np.repeat(centres, 32, axis=0) + rng.normal(0, 0.05, (960, 16)), np.ones((300, 16))))
+    m = m[rng.permutation(len(m))]
+    v = op7.quantised(spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>"))
+    seen = {}
+    op7.search(v, v.where("vec_id % 20 = 0"), 5, seen)
+    assert seen["pairs"] >= 63 * 39 and seen["scored"] < 0.4 * seen["pairs"]
+    x = np.floor(64 * m)
+    got = sorted(map(tuple, op7.top_k(v, v.where("vec_id % 20 = 0"), 5).collect()))
+    want = []
+    for i in range(0, len(x), 20):
+        s = sorted((-int(n), j) for j, n in enumerate(x @ x[i]) if j != i)[:5]
+        want += [(i, r, j, -n) for r, (n, j) in enumerate(s, 1)]
+    assert got == sorted(want)
+
+
 def test_top_k_of_nothing(spark):
     v = op7.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert op7.top_k(v, v, 3).collect() == []
