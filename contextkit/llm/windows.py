@@ -127,7 +127,7 @@ def runs(unit: Words | Bytes, docs: list) -> Runs | None:
     if size.max(initial=0) < unit.width:
         return None
     gram, window = unit.names(docs)
-    anchor = slide_min(gram, unit.width - unit.anchor + 1)
+    anchor = finish(slide_min(gram, unit.width - unit.anchor + 1))  # least hashes crowd near zero; names are to fill all buckets alike
     n = len(window)
     of = np.repeat(np.arange(len(docs)), np.maximum(0, size - unit.width + 1))
     where = np.arange(len(of)) + np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(np.maximum(0, size - unit.width + 1))))[:-1], np.maximum(0, size - unit.width + 1))
