@@ -116,7 +116,7 @@ def pack_tokens(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER,
     def pack(key, t):
         return pack_shard(key[0].as_py(), list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True)), encoder(ranks), length, end_id)
 
-    return texts.withColumn("shard", batch_of(n)).repartition(n, "shard").groupBy("shard").applyInArrow(pack, ROWS)
+    return texts.withColumn("shard", batch_of(n)).repartitionById(n, F.col("shard")).groupBy("shard").applyInArrow(pack, ROWS)
 
 
 def position_ids(row: dict, length: int = 2048) -> np.ndarray:
