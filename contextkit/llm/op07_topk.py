@@ -93,8 +93,8 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return ordered.select("vec_id", "v", "copies").mapInArrow(pack, _BLOCK).withColumn("block", F.monotonically_increasing_id())
 
 
-def _score(q: dict, b: dict, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of a block for each of the query rows: row, vec_id, score; a row is no candidate of its own."""
+def _score(q: dict, b: dict, rows: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of a block, with ``least`` points each, for the query rows: row, vec_id, score; a row is no candidate of its own."""
     qm, bm = _matrix(q["vectors"], q["n"], q["dim"]), _matrix(b["vectors"], b["n"], b["dim"])
     qid, bid, copies = _ids(q["ids"]), _ids(b["ids"]), _ids(b["copies"])
     dots = _dot(qm[rows], bm)
@@ -104,7 +104,10 @@ def _score(q: dict, b: dict, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     qw, bw = wide(qm[rows]), wide(bm)
     for i, j in zip(*np.nonzero(qid[rows][:, None] == bid[None, :]), strict=True):
         times[i, j] -= (qw[i] == bw[j]).all()
-    row, col = np.nonzero(times)
+    some = (times > 0) & (dots >= least[:, None])
+    if dots.shape[1] > k:  # what the kth of the block outdoes is not sorted
+        some &= dots >= np.partition(np.where(some, dots, _NO_SCORE), -k, axis=1)[:, [-k]]
+    row, col = np.nonzero(some)
     order = np.lexsort((bid[col], -dots[row, col], row))
     row, col = row[order], col[order]
     row, col = (np.repeat(x, times[row, col]) for x in (row, col))
@@ -217,22 +220,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, seen: dict[str, int]
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {"q_block": [], "block": [], "rows": []}
+            out: dict[str, list] = {"q_block": [], "block": [], "rows": [], "kth": []}
             for r in b.to_pylist():
                 rows, bound = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["bounds"])
+                kth = np.full(len(rows), _NO_SCORE)
                 if r["scores"] is not None:
                     kth, last = _ids(r["scores"]).reshape(-1, k)[rows, -1], _ids(r["ids"]).reshape(-1, k)[rows, -1]
-                    rows = rows[(bound > kth) | ((bound == kth) & (r["least"] < last))]
+                    due = (bound > kth) | ((bound == kth) & (r["least"] < last))
+                    rows, kth = rows[due], kth[due]
                 if len(rows):
-                    for c, v in zip(out, (r["q_block"], r["block"], rows.tobytes()), strict=True):
+                    for c, v in zip(out, (r["q_block"], r["block"], rows.tobytes(), kth.tobytes()), strict=True):
                         out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("q_block", pa.int64()), ("block", pa.int64()), ("rows", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("q_block", pa.int64()), ("block", pa.int64()), ("rows", pa.binary()), ("kth", pa.binary())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 rows = np.frombuffer(r["rows"], np.int32).astype(np.int64)
-                row, ids, scores = _score(r, {c[2:]: v for c, v in r.items() if c.startswith("b_")}, rows, k)
+                row, ids, scores = _score(r, {c[2:]: v for c, v in r.items() if c.startswith("b_")}, rows, _ids(r["kth"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]]), *(pa.array([x.tobytes()], pa.binary()) for x in (row, ids, scores))], ["q_block", "rows", "ids", "scores"])
 
     def merge(key, t):
@@ -253,7 +258,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, seen: dict[str, int]
     state = settle(asked.select("q_block", none.alias("ids"), none.alias("scores")))
     round_ = 0
     while True:
-        due = order.where(F.col("round") == round_).join(state, "q_block").mapInArrow(needed, "q_block long, block long, rows binary")
+        due = order.where(F.col("round") == round_).join(state, "q_block").mapInArrow(needed, "q_block long, block long, rows binary, kth binary")
         due = settle(due)
         scored = due.agg(F.sum(F.octet_length("rows") / 4)).first()[0]
         if not scored:
