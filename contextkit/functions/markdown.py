@@ -86,88 +86,151 @@ def _item(line: str, within_paragraph: bool = False) -> tuple[str, int, bool] |
     return m[4] or m[2], column, empty
 
 
-def _interrupts(line: str) -> bool:
-    """Whether a line ends a paragraph before it by beginning another block."""
+def _interrupts(line: str, containers: bool = True) -> bool:
+    """Whether a line ends a paragraph before it by beginning another block, a container among them."""
     if _indent(line) >= 4:
         return False
-    return bool(_ATX.match(line) or _RULE.match(line) or _FENCE.match(line) or _QUOTE.match(line) or _html(line, True) is not None or _item(line, True))
-
-
-def _continues_lazily(line: str, inner: list[str]) -> bool:
-    return not _blank(line) and not _interrupts(line) and _open_paragraph(inner)
+    if _ATX.match(line) or _RULE.match(line) or _FENCE.match(line) or _html(line, True) is not None:
+        return True
+    return containers and bool(_QUOTE.match(line) or _item(line, True))
+
+
+class _Open:
+    """What is still open inside a container, line by line: a stack of quotes and list items, and the kind of the last leaf.
+
+    A quote is None on the stack, an item the column of its content.
+    """
+
+    def __init__(self):
+        self.stack: list[int | None] = []
+        self.leaf: str | re.Pattern | None = None  # "paragraph", "html" up to a blank line, or what ends a fence or HTML block
+        self.fence = False
+        self.bare = False  # the innermost item has had no content
+
+    @property
+    def paragraph(self) -> bool:
+        return self.leaf == "paragraph"
+
+    def _continued(self, line: str) -> tuple[int, str]:
+        """How many of the containers the line continues, and the rest of the line."""
+        for depth, column in enumerate(self.stack):
+            if column is None:
+                m = _QUOTE.match(line) if _indent(line) < 4 else None
+                if not m:
+                    return depth, line
+                line = line[m.end() :]
+            elif _blank(line):
+                if self.bare and depth == len(self.stack) - 1:
+                    return depth, line
+            elif _indent(line) >= column:
+                line = _unindent(line, column)
+            else:
+                return depth, line
+        return len(self.stack), line
+
+    def _ended(self, line: str) -> bool:
+        if self.leaf == "html":
+            return _blank(line)
+        return bool(self.leaf.match(line) if self.fence else self.leaf.search(line))
+
+    def feed(self, line: str) -> None:
+        depth, line = self._continued(line)
+        whole = depth == len(self.stack)
+        if whole and self.leaf is not None and not self.paragraph:
+            if self._ended(line):
+                self.leaf = None
+            return
+        within = self.paragraph and (whole or self.stack[depth] is None)
+        opened = False
+        while _indent(line) < 4:
+            if m := _QUOTE.match(line):
+                column, line = None, line[m.end() :]
+            elif (found := _item(line, within)) is not None:
+                column, at = found[1], _ITEM.match(line).end()
+                line = _unindent(" " * at + line[at:], column)
+            else:
+                break
+            self.stack[depth:] = [column]
+            depth, opened, within, self.leaf = depth + 1, True, False, None
+        if _blank(line):
+            del self.stack[depth:]
+            self.leaf = None
+            self.bare = opened and self.stack[-1] is not None
+            return
+        self.bare = False
+        if self.paragraph:
+            if whole and _SETEXT.match(line):
+                self.leaf = None
+                return
+            if not _interrupts(line, False):
+                return
+        del self.stack[depth:]
+        self._begin(line)
+
+    def _begin(self, line: str) -> None:
+        """A new leaf."""
+        self.leaf, self.fence = None, False
+        if _indent(line) >= 4 or _ATX.match(line) or _RULE.match(line):
+            return
+        if m := _FENCE.match(line):
+            self.leaf, self.fence = _closing(m), True
+        elif (html := _html(line, False)) is not None:
+            close = _HTML[html][1]
+            self.leaf = "html" if close is None else None if close.search(line) else close
+        else:
+            self.leaf = "paragraph"
 
 
-def _open_paragraph(lines: list[str]) -> bool:
-    """Whether a paragraph is still open after these lines."""
-    if not lines or _blank(lines[-1]):
-        return False
-    last = None
-    for last in _scan(lines):  # noqa: B007
-        pass
-    if last is None or last[1] != len(lines):
-        return False
-    kind, inner = last[2], last[3]
-    return kind == "paragraph" or (kind in ("quote", "list") and _open_paragraph(inner))
+def _closing(fence: re.Match) -> re.Pattern:
+    return re.compile(rf" {{0,3}}{re.escape(fence[2][0])}{{{len(fence[2])},}}[ \t]*[\r\n]*$")
 
 
-def _quote(lines: list[str], i: int) -> tuple[int, list[str]]:
-    inner: list[str] = []
-    lazy = None  # not known; a lazy line keeps it as it is
+def _quote(lines: list[str], i: int) -> int:
+    """First line after the quote."""
+    inner = _Open()
     while i < len(lines):
         m = _QUOTE.match(lines[i]) if _indent(lines[i]) < 4 else None
         if m:
-            inner.append(lines[i][m.end() :])
-            lazy = None
-        else:
-            if lazy is None:
-                lazy = _open_paragraph(inner)
-            if not lazy or _blank(lines[i]) or _interrupts(lines[i]):
-                break
-            inner.append(lines[i].lstrip(" \t"))
+            inner.feed(lines[i][m.end() :])
+        elif not inner.paragraph or _blank(lines[i]) or _interrupts(lines[i]):
+            break
         i += 1
-    return i, inner
+    return i
 
 
-def _list(lines: list[str], i: int) -> tuple[int, list[str]]:
-    """First line after the list, without blank lines at its end; the last item's lines."""
+def _list(lines: list[str], i: int) -> int:
+    """First line after the list, without blank lines at its end."""
     kind = _item(lines[i])[0]
-    end, inner = i, []
+    end = i
     while i < len(lines):
         found = _item(lines[i]) if _indent(lines[i]) < 4 else None
         if not found or found[0] != kind:
             break
-        column = found[1]
-        inner = [_unindent(" " * _ITEM.match(lines[i]).end() + lines[i][_ITEM.match(lines[i]).end() :], column)]
+        column, at = found[1], _ITEM.match(lines[i]).end()
+        inner = _Open()
+        inner.feed(_unindent(" " * at + lines[i][at:], column))
         i += 1
         end = i
         if found[2] and i < len(lines) and _blank(lines[i]):
             while i < len(lines) and _blank(lines[i]):
                 i += 1
             continue
-        lazy = None
         while i < len(lines):
             if _blank(lines[i]):
-                inner.append("\n")
-                lazy = None
+                inner.feed("\n")
             elif _indent(lines[i]) >= column:
-                inner.append(_unindent(lines[i], column))
+                inner.feed(_unindent(lines[i], column))
                 end = i + 1
-                lazy = None
+            elif not inner.paragraph or _interrupts(lines[i]) or (_indent(lines[i]) < 4 and _item(lines[i])):
+                break
             else:
-                if lazy is None:
-                    lazy = _open_paragraph(inner)
-                if not lazy or _interrupts(lines[i]) or (_indent(lines[i]) < 4 and _item(lines[i])):
-                    break
-                inner.append(lines[i].lstrip(" \t"))
                 end = i + 1
             i += 1
-    while inner and end < i and _blank(inner[-1]):
-        inner.pop()
-    return end, inner
+    return end
 
 
 def _scan(lines: list[str]):
-    """(first line, line after the last, kind, inner lines) of each block; a rule is of kind None."""
+    """(first line, line after the last, kind) of each block; a rule is of kind None."""
     i = 0
     while i < len(lines):
         line, start = lines[i], i
@@ -180,27 +243,27 @@ def _scan(lines: list[str]):
                 i += 1
                 if not _blank(lines[i - 1]):
                     end = i
-            yield start, end, "code", []
+            yield start, end, "code"
             continue
         if m := _FENCE.match(line):
-            close = re.compile(rf" {{0,3}}{re.escape(m[2][0])}{{{len(m[2])},}}[ \t]*[\r\n]*$")
+            close = _closing(m)
             i += 1
             while i < len(lines) and not close.match(lines[i]):
                 i += 1
             i = min(i + 1, len(lines))
-            yield start, i, "fence", []
+            yield start, i, "fence"
         elif _ATX.match(line):
             i += 1
-            yield start, i, "heading", []
+            yield start, i, "heading"
         elif _RULE.match(line):
             i += 1
-            yield start, i, None, []
+            yield start, i, None
         elif _QUOTE.match(line):
-            i, inner = _quote(lines, i)
-            yield start, i, "quote", inner
+            i = _quote(lines, i)
+            yield start, i, "quote"
         elif _item(line):
-            i, inner = _list(lines, i)
-            yield start, i, "list", inner
+            i = _list(lines, i)
+            yield start, i, "list"
         elif (html := _html(line, False)) is not None:
             close = _HTML[html][1]
             while i < len(lines):
@@ -209,7 +272,7 @@ def _scan(lines: list[str]):
                 i += 1
                 if close is not None and close.search(lines[i - 1]):
                     break
-            yield start, i, "html", []
+            yield start, i, "html"
         else:
             i += 1
             heading = False
@@ -221,7 +284,7 @@ def _scan(lines: list[str]):
                 if _interrupts(lines[i]):
                     break
                 i += 1
-            yield start, i, "heading" if heading else "paragraph", []
+            yield start, i, "heading" if heading else "paragraph"
 
 
 def top_level_blocks(text: str) -> list[tuple[int, int]]:
@@ -232,14 +295,14 @@ def top_level_blocks(text: str) -> list[tuple[int, int]]:
     for line in lines:
         at.append(at[-1] + len(line))
     out = []
-    for first, end, kind, _ in _scan(lines):
+    for first, end, kind in _scan(lines):
         if kind is None:
             continue
         start = at[first]
         if kind == "paragraph" or (kind == "heading" and not _ATX.match(lines[first])):
             stop = at[end] if kind == "paragraph" else at[end - 1]
-            while start < stop and (m := _DEFINITION.match(raw[start:stop])):
-                start += m.end()
+            while start < stop and (m := _DEFINITION.match(raw, start, stop)):
+                start = m.end()
             if start >= stop:
                 if kind == "heading":  # only definitions above the underline, which is then text
                     out.append((stop, at[end]))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +98,31 @@ def test_tokenizers_agree_and_offsets_join():
     for tokenizer in (named, filed):
         at = tokenizer.offsets("Hello, world")
         assert at[0][0] == 0 and at[-1][1] == 12 and all(a[1] == b[0] for a, b in zip(at, at[1:], strict=False))
+
+
+def test_deep_and_long_texts():
+    """Nesting is held on a stack, and no line makes those before it be read again."""
+    deep = ">" * 5000 + " a\nlazy\n\nb"
+    start = time.perf_counter()
+    assert top_level_blocks(deep) == [(0, 5008), (5009, 5010)]
+    lazy = "> a\nb\n" * 20_000
+    assert top_level_blocks(lazy) == [(0, len(lazy))]
+    items = "".join(" " * (2 * i) + "- a\n" for i in range(300)) + "lazy\n"
+    assert top_level_blocks(items) == [(0, len(items))]
+    definitions = "[a]: b\n" * 20_000
+    assert top_level_blocks(definitions) == []
+    assert time.perf_counter() - start < 20
+
+
+def test_lazy_lines():
+    for text, blocks in (
+        ("> - a\nlazy\n", ["> - a\nlazy\n"]),
+        ("> ```\n> a\nno\n", ["> ```\n> a\n", "no\n"]),
+        ("> # a\nno\n", ["> # a\n", "no\n"]),
+        ("> a\n===\n", ["> a\n===\n"]),
+        ("> a\n>\nno\n", ["> a\n>\n", "no\n"]),
+        ("- > a\nlazy\n- b\n", ["- > a\nlazy\n- b\n"]),
+        ("> <div>\nno\n", ["> <div>\n", "no\n"]),
+        ("> a\n> ---\nno\n", ["> a\n> ---\n", "no\n"]),
+    ):
+        assert [text[a:b] for a, b in top_level_blocks(text)] == blocks, text
