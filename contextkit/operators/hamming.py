@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextkit.functions.simhash import hamming
 
 
-def band_edges(threshold: int, recall: str = "exact") -> list[tuple[int, int]]:
-    """(shift, width) of the bands: prints within ``threshold`` agree in at least one.
+MOST_KEYS = 64
+
+
+def segments_for(threshold: int, prints: int) -> int:
+    """Into how many segments to cut prints that match within ``threshold`` bits.
 
-    Four bands of 16 bits suffice up to 3; beyond, ``exact`` takes one band
-    more than the threshold, and ``bands`` keeps to four and may miss some.
+    Of n segments, n - threshold agree at least, and each choice of so many
+    makes a key.  More segments make longer keys, which fewer prints share by
+    chance, and more of them.  The fewest segments whose keys have as many
+    bits as ``prints`` calls for are taken, within MOST_KEYS keys.
+    """
+    n = max(4, threshold + 1)
+    while 64 * (n - threshold) / n < math.log2(max(2, prints)) and math.comb(n + 1, threshold) <= MOST_KEYS:
+        n += 1
+    return n
+
+
+def match_keys(threshold: int, recall: str = "exact", prints: int = 0) -> list[list[tuple[int, int]]]:
+    """The keys by which prints meet, each a list of segments (shift, width): prints within ``threshold`` agree in one key at least.
+
+    Four bands of 16 bits suffice up to 3 bits and for few prints.  ``bands``
+    keeps to these four and may miss pairs beyond 3 bits.
     """
     if threshold < 0:
         raise ValueError("threshold must not be negative")
-    n = 1 if threshold == 0 else 4 if threshold <= 3 or recall == "bands" else min(threshold + 1, 64)
+    if threshold >= 64:
+        return [[]]  # any two are near
+    if threshold == 0:
+        return [[(0, 64)]]
+    n = 4 if recall == "bands" else min(64, segments_for(threshold, prints))
     edge = [64 * i // n for i in range(n + 1)]
-    return [(64 - b, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+    cut = [(64 - b, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+    return [list(c) for c in itertools.combinations(cut, max(1, n - threshold))]
 
 
 def _band(fp: Column, shift: int, width: int) -> Column:
@@ -26,20 +51,35 @@ def _band(fp: Column, shift: int, width: int) -> Column:
     return moved if width == 64 else moved.bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _key(fp: Column, segments: list[tuple[int, int]]) -> Column:
+    out = F.lit(0).cast("long")
+    for shift, width in segments:
+        out = _band(fp, shift, width) if width == 64 else F.shiftleft(out, width).bitwiseOR(_band(fp, shift, width))
+    return out
+
+
 def hamming_join(left: DataFrame, right: DataFrame, threshold: int, recall: str = "exact") -> DataFrame:
     """Pairs (l, r, distance) of distinct fingerprints, columns ``l`` of ``left`` and ``r`` of ``right``.
 
-    A pair that agrees in several bands is kept at the first of them only, so
-    no shuffle is needed to drop repeats.  Nulls match nothing.
+    Prints meet at equal keys; a pair that agrees in several is kept at the
+    first of them only, so no shuffle is needed to drop repeats.  The number
+    of prints on the right is counted to choose keys by which few of them
+    meet by chance; the result does not depend on it.  Nulls match nothing.
     """
-    edges = band_edges(threshold, recall)
-    if threshold >= 64:
-        edges = [(0, 0)]  # any two are near
-    rows = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().select(c, F.posexplode(F.array(*(_band(F.col(c), *e) for e in edges))).alias("band_no", "band"))
-    pairs = rows(left, "l").join(rows(right, "r"), ["band_no", "band"])
-    differ = F.col("l").bitwiseXOR(F.col("r"))
-    earlier = F.lit(False)
-    for i, (shift, width) in enumerate(edges[:-1]):
-        earlier = earlier | ((F.col("band_no") > i) & (_band(differ, shift, width) == 0))
+    distinct = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct()
+    left, right = distinct(left, "l"), distinct(right, "r")
+    keys = match_keys(threshold, recall, right.count() if 0 < threshold < 64 and recall == "exact" else 0)
+    rows = lambda df, c: df.select(c, F.posexplode(F.array(*(_key(F.col(c), k) for k in keys))).alias("key_no", "key"))
+    pairs = rows(left, "l").join(rows(right, "r"), ["key_no", "key"])
     near = hamming(F.col("l"), F.col("r"))
-    return pairs.where((near <= threshold) & ~earlier).select("l", "r", near.alias("distance"))
+    if len(keys) > 1:
+        cut = sorted({s for k in keys for s in k})
+        differ = F.col("l").bitwiseXOR(F.col("r"))
+        agree = sum((F.when(_band(differ, *s) == 0, 1 << i).otherwise(0) for i, s in enumerate(cut)), F.lit(0).cast("long"))
+        pairs = pairs.withColumn("agree", agree)
+        first = F.lit(None).cast("int")
+        for i, k in reversed(list(enumerate(keys))):
+            bits = sum(1 << cut.index(s) for s in k)
+            first = F.when(F.col("agree").bitwiseAND(F.lit(bits).cast("long")) == bits, i).otherwise(first)
+        pairs = pairs.where(F.col("key_no") == first)
+    return pairs.where(near <= threshold).select("l", "r", near.alias("distance"))

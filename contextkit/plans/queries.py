@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,13 @@ def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", fingerprint(F.col("text")).alias("fp"))
 
 
+def _stored_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(_prints(spark, sf_dir))
+
+
 def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other documents are within three bits of each.  Counts join, not pairs of documents."""
-    prints = _prints(spark, sf_dir)
+    prints = _stored_prints(spark, sf_dir)
     sizes = prints.groupBy("fp").agg(F.count("*").alias("n"))
     near = hamming_join(sizes.select(F.col("fp").alias("l")), sizes.select(F.col("fp").alias("r")), THRESHOLD)
     counted = near.join(sizes.withColumnRenamed("fp", "r"), "r").groupBy("l").agg((F.sum("n") - 1).alias("n_near"))
@@ -143,7 +148,7 @@ def bands_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = _prints(spark, sf_dir)
+    prints = _stored_prints(spark, sf_dir)
     pairs = hamming_join(prints.select(F.col("fp").alias("l")), prints.select(F.col("fp").alias("r")), THRESHOLD)
     return pairs.where("l < r").select("l", "r", F.col("distance").cast("int").alias("distance"))
 
@@ -154,6 +159,19 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.entries(docs.select(F.col("doc_id").alias("key"), "text", F.concat_ws(":", "source", "doc_id").alias("data")))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, as a cache's table is: prints are worked out once.
+
+    Without a shared folder, ``df`` itself.
+    """
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df
+    path = f"{base.rstrip('/')}/contextkit-cache-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items, conversation turns and documents without their last character."""
     items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), "text")
@@ -165,6 +183,11 @@ def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("key", fingerprint(F.col("text")).alias("fingerprint"))
 
 
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a lookup reads of the cache."""
+    return _stored(_cache(spark, sf_dir).select("fingerprint", "id", "data"))
+
+
 def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cache(spark, sf_dir).select("id", "fingerprint", "band_a", "band_b", "band_c", "band_d", "input_text", "data")
 
@@ -178,19 +201,19 @@ def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_near_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.find_near(_lookups(spark, sf_dir), _cache(spark, sf_dir), THRESHOLD, "first").select("key", "data")
+    return c.find_near(_stored(_lookups(spark, sf_dir)), _known(spark, sf_dir), THRESHOLD, "first").select("key", "data")
 
 
 def cache_near_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.find_near(_lookups(spark, sf_dir), _cache(spark, sf_dir), THRESHOLD, "closest").select("key", "data")
+    return c.find_near(_stored(_lookups(spark, sf_dir)), _known(spark, sf_dir), THRESHOLD, "closest").select("key", "data")
 
 
 def cache_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.get(_lookups(spark, sf_dir), _cache(spark, sf_dir), THRESHOLD, "first").select("key", "data")
+    return c.get(_stored(_lookups(spark, sf_dir)), _known(spark, sf_dir), THRESHOLD, "first").select("key", "data")
 
 
 def cache_get_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.get(_lookups(spark, sf_dir), _cache(spark, sf_dir), THRESHOLD, "closest").select("key", "data")
+    return c.get(_stored(_lookups(spark, sf_dir)), _known(spark, sf_dir), THRESHOLD, "closest").select("key", "data")
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

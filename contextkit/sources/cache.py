@@ -71,11 +71,15 @@ def find_near(queries: DataFrame, cache: DataFrame, threshold: int, pick: str =
 
 
 def get(queries: DataFrame, cache: DataFrame, threshold: int, pick: str = "first", recall: str = "exact") -> DataFrame:
-    """Exact matches first; only queries without one look for a near row."""
+    """Exact matches first; only the prints without one look for a near row, each once.
+
+    ``queries`` and ``cache`` are read several times: prints that are worked
+    out on the way should be stored before.
+    """
     exact = find_exact(queries, cache)
-    found = exact.where("data IS NOT NULL")
-    missed = misses(queries, cache)
-    return found.unionByName(find_near(missed, cache, threshold, pick, recall))
+    missed = exact.where("data IS NULL").select("fingerprint").distinct()
+    near = find_near(missed, cache, threshold, pick, recall).where("data IS NOT NULL").withColumnRenamed("data", "near")
+    return exact.join(near, "fingerprint", "left").withColumn("data", F.coalesce("data", "near")).drop("near")
 
 
 class FuzzyCache:

@@ -5,7 +5,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from contextkit.functions import simhash as sh
-from contextkit.operators.hamming import band_edges, hamming_join
+from contextkit.operators import hamming as h
+from contextkit.operators.hamming import hamming_join, match_keys
 
 
 def one_hash(text):
@@ -58,8 +59,11 @@ def brute(prints, threshold):
     return sorted((a, b, d) for a in known for b in known if (d := ((a ^ b) % 2**64).bit_count()) <= threshold)
 
 
-@pytest.mark.parametrize("threshold", [0, 1, 3, 4, 7, 64])
-def test_hamming_join_misses_nothing(spark, threshold):
+@pytest.mark.parametrize("threshold,many", [(0, 1), (1, 1 << 40), (3, 1), (3, 1 << 30), (4, 1), (7, 1 << 20), (64, 1)])
+def test_hamming_join_misses_nothing(spark, monkeypatch, threshold, many):
+    """With as many keys as ``many`` prints would call for."""
+    own = h.segments_for
+    monkeypatch.setattr(h, "segments_for", lambda t, n: own(t, max(n, many)))
     rng = np.random.default_rng(threshold)
     base = rng.integers(-(2**63), 2**63, 12)
     prints = [int(p) for p in base]
@@ -73,10 +77,13 @@ def test_hamming_join_misses_nothing(spark, threshold):
     assert sorted(map(tuple, got)) == brute(prints, threshold)
 
 
-def test_bands_cover_all_bits():
-    for threshold in range(64):
-        edges = band_edges(threshold)
-        assert sum(w for _, w in edges) == 64 and len(edges) > threshold or threshold == 0
-    assert len(band_edges(9, "bands")) == 4
+def test_keys():
+    for threshold in range(1, 64):
+        keys = match_keys(threshold, prints=1000)
+        cut = {s for k in keys for s in k}
+        assert sum(w for _, w in cut) == 64 and len(cut) > threshold and len(keys) <= max(h.MOST_KEYS, len(cut))
+    assert [sum(w for _, w in k) for k in match_keys(3)] == [16] * 4
+    assert min(sum(w for _, w in k) for k in match_keys(3, prints=1 << 28)) >= 28
+    assert len(match_keys(9, "bands")) == 4
     with pytest.raises(ValueError):
-        band_edges(-1)
+        match_keys(-1)
