@@ -15,5 +15,6 @@ def substring_dedup(docs: DataFrame, width: int = 13, keep_text: bool = False) -
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` in 13-word windows that an earlier document has; null and empty texts have no words."""
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n_tokens AS n_words", "n_removed", "kept_sha256", "n_spans")

@@ -168,6 +168,7 @@ def in_order(item: Column) -> Column:
 
 
 def op2_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``conversations`` as calls with their results, and what belongs to no call; an empty table gives no rows."""
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     (calls, results), (more_calls, more_results) = implicit_calls(messages), explicit_calls(messages)
     calls, results = calls.unionByName(more_calls), results.unionByName(more_results)

@@ -178,6 +178,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFra
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` in 8-word windows of ``benchmark`` items; null texts have no words, an empty benchmark hits none."""
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)

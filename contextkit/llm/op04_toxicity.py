@@ -106,6 +106,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each of ``documents``; null and empty texts have that of a text without hits, all 0 where no label is known."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

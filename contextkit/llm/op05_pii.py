@@ -213,6 +213,7 @@ def _text(spans: str) -> Column:
 
 
 def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of personal data of each of ``documents``; see ``find_pii``."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda n: F.size(F.filter("base", lambda m: m["kind"] == n)).cast("long")
     return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)), F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))

@@ -120,5 +120,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each of ``documents`` is taken; null language, source and text count as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix_sources(docs).select("doc_id", "domain", "lang", "source", F.col("size").alias("n_tokens"), "copies")

@@ -309,5 +309,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all ``embeddings`` for those whose vec_id is divisible by 20; vectors that are not finite take no part."""
     vectors = settle(quantised(table(spark, sf_dir, "embeddings")))
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)

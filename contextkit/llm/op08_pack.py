@@ -127,4 +127,5 @@ def position_ids(row: dict, length: int = 2048) -> np.ndarray:
 
 
 def op8_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as packed rows of 2,048 token ids; see ``pack_tokens``."""
     return pack_tokens(table(spark, sf_dir, "documents"))

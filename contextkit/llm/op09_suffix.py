@@ -15,5 +15,6 @@ def suffix_dedup(docs: DataFrame, width: int = 50, keep_text: bool = False) -> D
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` in 50-byte strings that an earlier document has; null and empty texts have no bytes."""
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n_tokens AS n_bytes", "n_removed", "n_spans", "kept_sha256")

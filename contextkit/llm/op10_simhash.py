@@ -210,5 +210,6 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of each of ``documents``; texts without words have fingerprint zero and link like any other."""
     found = simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
