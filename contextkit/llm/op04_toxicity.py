@@ -72,7 +72,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_pydict({"x": [scorer.features(t).tolist() for t in b["text"].to_pylist()], "y": b["toxic"].cast(pa.float64())})
 
         # SAMPLE rows of seven numbers
-        got = rows.mapInArrow(features, "x array<double>, y double").orderBy("x", "y").collect()
+        got = rows.mapInArrow(features, "x array<double>, y double").collect()
+        got.sort(key=lambda r: (r["x"], r["y"]))  # whichever task was first
         b = fit_logistic(np.array([r["x"] for r in got]), (np.array([r["y"] for r in got]) > 0).astype(float))
         return Model(terms, weights, b.tolist())
     finally:
