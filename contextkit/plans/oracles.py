@@ -138,6 +138,14 @@ ends AS (SELECT conv_id, CASE WHEN used > 0 THEN list_append(cuts, [start, stop]
 pieces AS (SELECT conv_id, unnest(range(len(cuts))) AS k, unnest(cuts) AS c FROM ends)
 SELECT conv_id, k::INTEGER AS chunk_pos, decode(raw[c[1] + 1:c[2]]) AS chunk FROM pieces JOIN whole USING (conv_id)"""
 
+#: By CommonMark, a block ends with its last line; a thematic break is none of its own.
+_STRUCTURED = """
+WITH parts AS (SELECT doc_id, unnest(range(10)) AS k, unnest(['# ' || source, '## ' || lang, '- ' || doc_id || chr(10) || '- ' || lang || chr(10) || chr(10) || '  more',
+    '```text' || chr(10) || replace(text, '`', '') || chr(10) || '```', '> # ' || source || chr(10) || '> words' || chr(10) || 'lazy', '---',
+    '<div>' || chr(10) || '# ' || doc_id || chr(10) || '</div>', source || chr(10) || '===', '    code ' || doc_id || chr(10) || chr(10) || '    # more', lang || chr(10) || 'last']) AS part FROM documents),
+placed AS (SELECT doc_id, k, strlen(part) AS n, sum(strlen(part) + CASE WHEN k = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id ORDER BY k) - strlen(part) - CASE WHEN k = 0 THEN 1 ELSE 2 END AS a FROM parts)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS pos, a::BIGINT AS first_byte, (a + n + CASE WHEN k < 9 THEN 1 ELSE 0 END)::BIGINT AS end_byte FROM placed WHERE k <> 5"""
+
 ORACLES = {
     "near_dup_documents": f"WITH {_DOCS}, {_PRINTS} SELECT a.key AS doc_id, a.fp AS fingerprint, count(*) - 1 AS n_near FROM prints a JOIN prints b ON bit_count(xor(a.fp, b.fp)) <= 3 GROUP BY a.key, a.fp",
     "tokenize_terms": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY doc_id, term",
@@ -165,6 +173,7 @@ ORACLES = {
     "cache_get": f"{_LOOKUP}, {_EXACT}, {_NEAR.format(pick=_FIRST)} SELECT key, coalesce(exact.data, near.data) AS data FROM prints LEFT JOIN exact USING (key) LEFT JOIN near USING (key)",
     "cache_get_batch": f"{_LOOKUP}, {_EXACT}, {_NEAR.format(pick=_CLOSEST)} SELECT key, coalesce(exact.data, near.data) AS data FROM prints LEFT JOIN exact USING (key) LEFT JOIN near USING (key)",
     "markdown_blocks": f"WITH {_BLOCKS} SELECT conv_id, pos::INTEGER AS pos, first_byte, end_byte FROM blocks",
+    "markdown_structured": _STRUCTURED,
     "chunk_bytes": _CHUNK_BYTES,
     "chunk_tokens": _CHUNK_TOKENS,
 }

@@ -228,6 +228,29 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "pos", F.col("b.start").alias("first_byte"), F.col("b.end").alias("end_byte"))
 
 
+def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown text of each document, with a block of each kind; its text is in the fence."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    lit = F.lit
+    parts = (
+        F.concat(lit("# "), "source", lit("\n## "), "lang"),
+        F.concat(lit("- "), "doc_id", lit("\n- "), "lang", lit("\n\n  more")),
+        F.concat(lit("```text\n"), F.replace("text", lit("`")), lit("\n```")),
+        F.concat(lit("> # "), "source", lit("\n> words\nlazy")),
+        lit("---"),
+        F.concat(lit("<div>\n# "), "doc_id", lit("\n</div>")),
+        F.concat("source", lit("\n===")),
+        F.concat(lit("    code "), "doc_id", lit("\n\n    # more")),
+        F.concat("lang", lit("\nlast")),
+    )
+    return docs.select("doc_id", F.concat_ws("\n\n", *parts).alias("text"))
+
+
+def markdown_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _structured(spark, sf_dir).select("doc_id", F.posexplode(blocks(F.col("text"))).alias("pos", "b"))
+    return found.select("doc_id", "pos", F.col("b.start").alias("first_byte"), F.col("b.end").alias("end_byte"))
+
+
 def chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MarkdownChunker(max_characters=BUDGET).chunk_df(_markdown(spark, sf_dir))
 
@@ -256,7 +279,7 @@ def token_offsets_hf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     near_dup_documents, tokenize_terms, doc_frequency, idf, sentence_lines, tfidf_scores, tfidf_top300, sentence_similarity, similarity_normalized,
     textrank, overlap_pairs, pack_ranked, pack_u_shaped, pack_sentences, sentences_uax29, shingle_counts, shingle_hash, simhash, bands_of_documents,
-    hamming_pairs, cache_put, cache_exact, cache_miss, cache_near_first, cache_near_closest, cache_get, cache_get_batch, markdown_blocks, chunk_bytes,
+    hamming_pairs, cache_put, cache_exact, cache_miss, cache_near_first, cache_near_closest, cache_get, cache_get_batch, markdown_blocks, markdown_structured, chunk_bytes,
     chunk_tokens, chunk_tokens_bpe, token_count_bpe, token_count_hf, token_offsets_hf,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CL100K = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+_CASED = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+O200K = "|".join(
+    (
+        r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+" + _CASED,
+        r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*" + _CASED,
+        r"\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+    )
+)
 FOLDER = os.environ.get("CONTEXTKIT_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -35,14 +43,30 @@ REGISTRY: dict[str, Ranks] = {
     "byte_bpe_50k": Ranks(f"{FOLDER}/byte_bpe_50k.tiktoken", GPT2, _END),
     "byte_bpe_multi_50k": Ranks(f"{FOLDER}/byte_bpe_multi_50k.tiktoken", GPT2, _END),
     "cl100k_base": Ranks(f"{FOLDER}/cl100k_base.tiktoken", CL100K, _CL_SPECIAL),
+    "o200k_base": Ranks(f"{FOLDER}/o200k_base.tiktoken", O200K, (("<|endoftext|>", 199999), ("<|endofprompt|>", 200018))),
+    "p50k_base": Ranks(f"{FOLDER}/p50k_base.tiktoken", GPT2, _END),
+    "p50k_edit": Ranks(f"{FOLDER}/p50k_base.tiktoken", GPT2, (*_END, ("<|fim_prefix|>", 50281), ("<|fim_middle|>", 50282), ("<|fim_suffix|>", 50283))),
+    "r50k_base": Ranks(f"{FOLDER}/r50k_base.tiktoken", GPT2, _END),
+    "gpt2": Ranks(f"{FOLDER}/r50k_base.tiktoken", GPT2, _END),
 }
-MODELS = {"gpt-4": "cl100k_base", "gpt-3.5-turbo": "cl100k_base", "text-embedding-ada-002": "cl100k_base"}
 
 
 def register_tokenizer(name: str, ranks: Ranks) -> None:
     REGISTRY[name] = ranks
 
 
+def ranks_named(name: str) -> Ranks | None:
+    """The ranks registered under ``name``, else those of the OpenAI model of that name, as tiktoken lists them."""
+    if name in REGISTRY:
+        return REGISTRY[name]
+    from tiktoken.model import encoding_name_for_model
+
+    try:
+        return REGISTRY.get(encoding_name_for_model(name))
+    except KeyError:
+        return None
+
+
 class Tokenizer:
     """Counts tokens of texts, and gives their byte offsets."""
 
@@ -91,7 +115,7 @@ class Tokenizer:
 
 
 def tokenizer_named(name: str) -> Tokenizer:
-    ranks = REGISTRY.get(MODELS.get(name, name))
+    ranks = ranks_named(name)
     if ranks is None:
         raise ValueError(f"Unknown tokenizer name: {name}")
     try:

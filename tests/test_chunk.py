@@ -1,12 +1,13 @@
 import time
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from contextkit import MarkdownChunker
 from contextkit.functions.markdown import chunk_by_bytes, chunk_by_tokens, top_level_blocks
-from contextkit.sources.tokenizers import FOLDER, tokenizer_from_file, tokenizer_named
+from contextkit.sources.tokenizers import FOLDER, GPT2, O200K, ranks_named, tokenizer_from_file, tokenizer_named
 
 WORDS = lambda texts: [len(t.split()) for t in texts]
 
@@ -126,3 +127,22 @@ def test_lazy_lines():
         ("> a\n> ---\nno\n", ["> a\n> ---\n", "no\n"]),
     ):
         assert [text[a:b] for a, b in top_level_blocks(text)] == blocks, text
+
+
+@pytest.mark.parametrize(
+    "model, encoding, pattern",
+    [("gpt-4o", "o200k_base", O200K), ("gpt-4-turbo", "cl100k_base", None), ("text-embedding-3-large", "cl100k_base", None), ("text-davinci-003", "p50k_base", GPT2), ("davinci", "r50k_base", GPT2)],
+)
+def test_model_names(model, encoding, pattern):
+    ranks = ranks_named(model)
+    assert ranks == ranks_named(encoding) and ranks.path.endswith(f"{encoding}.tiktoken")
+    assert pattern is None or ranks.pattern == pattern
+
+
+def test_unknown_model_name():
+    assert ranks_named("none such") is None
+
+
+def test_pattern_of_cased_words():
+    found = regex.findall(O200K, "HelloWorld don't 12345\n\n x/")
+    assert found == ["Hello", "World", " don't", " ", "123", "45", "\n\n", " x", "/"]
