@@ -46,7 +46,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
-#: Tokenising has no SQL; tests hold run() against a brute-force version.
+#: Tokenising has no SQL; tests hold each stage against planted cases, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
