@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from contextkit.llm._common import settle, whole_row
 from contextkit.llm.components import components
 from contextkit.llm.op10_simhash import links, print_of_hashes, shingle_hashes
-from contextkit.llm.windows import U, mix
+from contextkit.llm.windows import U, mix, spread
 
 BANDS, DEEP = 20, 5  # a pair of similarity 0.8 shares none of the bands with a chance of 0.0004
 BINS = 512
 DOUBT = 0.08  # sketches tell similarity within this, at 4.5 standard deviations
 CELL = 8  # members of a band key that are compared with each other at first, on average
 BLOCK = 512  # members of a band key on each side of a later comparison, on average
+BLOCK_BYTES = 4 << 20  # and of shingles that come with them
 _TIMES = np.random.default_rng(5).integers(0, 1 << 31, BANDS * DEEP, np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _SKETCHED = "doc_id long, text_hash long, row long, set long, fp long, sketch binary, bands array<long>"
 
@@ -129,41 +130,84 @@ def candidates(reps: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     return pairs.unionByName(near).where("a < b").distinct(), groups
 
 
-def across(groups: DataFrame, reps: DataFrame, label: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) as sketches tell it, from ``least`` on: of all pairs in ``groups`` (key, reach, set) whose sets are not in one class.
+def shared(names: list[bytes], x: int, y: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the set of shingles ``names[x]`` with each of those at ``y``."""
+    one, size = np.frombuffer(names[x], np.uint32), np.array([len(names[k]) // 4 for k in y])
+    others = np.frombuffer(b"".join(names[k] for k in y), np.uint32)
+    same = np.concatenate(([0], np.cumsum(np.isin(others, one))))
+    end = np.cumsum(size)
+    n = same[end] - same[end - size]
+    return n / np.maximum(1, len(one) + size - n)
+
+
+def across(groups: DataFrame, reps: DataFrame, label: DataFrame, least: float, sure: float | None = None, own: DataFrame | None = None, similarity: float = 0.0) -> DataFrame:
+    """Links (a, b, similarity) that join whatever the pairs in ``groups`` (key, reach, set) join whose sets are not in one class yet.
+
+    A pair of ``sure`` (``least``, if not given) or more, as sketches tell it,
+    is a link.  One from ``least`` on is decided by the shingles in ``own``
+    (set, shingles): of ``similarity`` or more it is a link.  Without ``own``
+    each of its sets, unless links have joined them, is returned as a pair
+    with itself, and left to a later call.
 
     A group's members in its largest class are compared with the rest, and the
     rest among themselves, block against block: both sides are dealt to blocks
-    of about BLOCK, so no task holds a group.
+    of about BLOCK, so no task holds a group.  Two blocks return a link only
+    if it joins classes that none before it joined, so no more rows than they
+    have members, and as many again for sets left in doubt.
     """
-    own = F.coalesce("label", "set").alias("label")
-    members = settle(groups.join(label.withColumnRenamed("node", "set"), "set", "left").select("key", "reach", "set", own))
-    sizes = members.groupBy("key", "reach", "label").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key", "reach").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
-    blocks = lambda n: F.expr(f"cast(ceil(({n}) / {BLOCK}) as bigint)")
-    sizes = settle(sizes.select("key", "reach", F.col("most.label").alias("main"), blocks("most.n").alias("mains"), blocks("n - most.n").alias("rests")))
+    sure = least if sure is None else sure
+    mine = F.coalesce("label", "set").alias("label")
+    members = groups.join(label.withColumnRenamed("node", "set"), "set", "left").select("key", "reach", "set", mine)
+    if own is None:
+        members = members.withColumn("bytes", F.lit(0).cast("long"))
+    else:
+        members = members.join(own.select("set", F.octet_length("shingles").cast("long").alias("bytes")), "set")
+        reps = reps.join(own, "set")
+    carried = [c for c in ("fp", "sketch", "shingles") if c in reps.columns]
+    members = settle(members)
+    sizes = members.groupBy("key", "reach", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.groupBy("key", "reach").agg(F.max(F.struct("n", "bytes", "label")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > most.n")
+    blocks = lambda n, size: F.expr(f"cast(ceil(greatest(({n}) / {BLOCK}, ({size}) / {BLOCK_BYTES})) as bigint)")
+    sizes = settle(sizes.select("key", "reach", F.col("most.label").alias("main"), blocks("most.n", "most.bytes").alias("mains"), blocks("n - most.n", "bytes - most.bytes").alias("rests")))
     deal = "CASE WHEN label = main THEN rests + pmod(xxhash64(set, key), mains) ELSE pmod(xxhash64(set, key), rests) END"
-    dealt = settle(members.join(sizes, ["key", "reach"]).withColumn("block", F.expr(deal)))
+    dealt = settle(members.drop("bytes").join(sizes, ["key", "reach"]).withColumn("block", F.expr(deal)))
     others = "sequence(0L, CASE WHEN label = main THEN rests ELSE rests + mains END - 1)"
-    dealt = dealt.join(reps.select("set", "fp", "sketch"), "set").withColumn("other", F.explode(F.expr(others)))
-    dealt = dealt.select("key", "reach", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "label", "fp", "sketch")
+    dealt = dealt.join(reps.select("set", *carried), "set").withColumn("other", F.explode(F.expr(others)))
+    dealt = dealt.select("key", "reach", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "label", *carried)
 
     def compare(unit: pa.Table) -> pa.Table:
         block, name, of, fp = (unit[c].to_numpy() for c in ("block", "set", "label", "fp"))
         i, j, reach = (unit[c][0].as_py() for c in ("i", "j", "reach"))
         used, value = opened(unit["sketch"].to_pylist())
-        right = np.flatnonzero(block == j)
-        a, b, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        shingles = unit["shingles"].to_pylist() if "shingles" in unit.column_names else None
+        of, right = of.copy(), np.flatnonzero(block == j)
+        links, doubts = [], []
+
+        def join(x: int, y: np.ndarray, near: np.ndarray) -> None:
+            labels, first = np.unique(of[y], return_index=True)
+            links.append((np.full(len(first), x), y[first], near[first]))
+            of[np.isin(of, labels)] = of[x]
+
         for x in np.flatnonzero(block == i):
             y = right[of[right] != of[x]]
             y = y[y > x] if i == j else y
             y = y[np.bitwise_count((fp[x] ^ fp[y]).view(U)) <= reach]
             near = compared(used[x][None], value[x][None], used[y], value[y])
-            y, near = y[near >= least], near[near >= least]
-            a.append(np.minimum(name[x], name[y]))
-            b.append(np.maximum(name[x], name[y]))
-            found.append(near)
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "similarity": np.concatenate(found)})
+            join(x, y[near >= sure], near[near >= sure])
+            doubt = (near >= least) & (near < sure) & (of[y] != of[x])
+            y, near = y[doubt], near[doubt]
+            if shingles is None:
+                doubts.append((np.full(len(y), x), y, near))
+            elif len(y):
+                near = shared(shingles, x, y)
+                join(x, y[near >= similarity], near[near >= similarity])
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        x, y, near = (np.concatenate(c) for c in zip(none, *links, strict=True))
+        left, other, _ = (np.concatenate(c) for c in zip(none, *doubts, strict=True))
+        apart = of[left] != of[other]
+        alone = name[np.union1d(left[apart], other[apart])]
+        a, b = np.minimum(name[x], name[y]), np.maximum(name[x], name[y])
+        return pa.table({"a": np.concatenate((a, alone)), "b": np.concatenate((b, alone)), "similarity": np.concatenate((near, np.ones(len(alone))))})
 
     return dealt.groupBy("key", "reach", "i", "j").applyInArrow(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
@@ -185,9 +229,8 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both_sides(pairs, reps, "sketch").mapInArrow(measure, "a long, b long, similarity double")
 
 
-def exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, similarity) by the shingle sets, of which four bytes a shingle travel."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def shingles_of(wanted: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(set, shingles) of the sets in ``wanted``: the first four bytes of each shingle's hash, sorted."""
     places = reps.select("set", "doc_id", "text_hash").join(wanted, "set", "left_semi").withColumnRenamed("text_hash", "hash")
     keyed = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     texts = keyed.join(places, (keyed.doc_id == places.doc_id) & (keyed.text_hash == places.hash)).select("set", "text")
@@ -197,6 +240,13 @@ def exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> D
             names = [np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["set"], pa.array(names, pa.binary())], ["set", "shingles"])
 
+    return settle(texts.mapInArrow(shingles, "set long, shingles binary").dropDuplicates(["set"]))
+
+
+def exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, similarity) by the shingle sets, of which four bytes a shingle travel."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
@@ -206,15 +256,12 @@ def exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> D
                 found.append(n / max(1, len(x) + len(y) - n))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-    own = texts.mapInArrow(shingles, "set long, shingles binary").dropDuplicates(["set"])
-    return both_sides(pairs.select("a", "b"), settle(own), "shingles").mapInArrow(measure, "a long, b long, similarity double")
+    return both_sides(pairs.select("a", "b"), shingles_of(wanted, docs, reps, shingle), "shingles").mapInArrow(measure, "a long, b long, similarity double")
 
 
-def linked(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, label) of the classes that ``pairs`` (a, b, similarity as sketches tell it) make of ``known`` ones (node, label)."""
+def linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, label) of the classes that ``pairs`` (a, b, similarity as sketches tell it) make."""
     sure = pairs.where(F.col("similarity") >= similarity + DOUBT).select("a", "b")
-    if known is not None:
-        sure = sure.unionByName(known.select(F.col("node").alias("a"), F.col("label").alias("b")))
     label = components(sure)
     apart = pairs.where(F.col("similarity") < similarity + DOUBT).select("a", "b")
     for side in ("a", "b"):
@@ -224,6 +271,25 @@ def linked(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, reps: Dat
     return components(sure.unionByName(found))
 
 
+def exhausted(groups: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, label) of the classes that all similar pairs in ``groups`` (key, reach, set) make of those in ``label``.
+
+    Sets that sketches leave in doubt are compared once more, with their
+    shingles beside them: pairs stay within two blocks, only links travel.
+    """
+    grown = lambda links: components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.select("a", "b")))
+    first = settle(across(groups, reps, label, similarity - DOUBT, similarity + DOUBT))
+    if not first.where("a <> b").isEmpty():
+        label = grown(first.where("a <> b"))
+    doubtful = first.where("a = b").select(F.col("a").alias("set"))
+    if not doubtful.isEmpty():
+        own = shingles_of(doubtful, docs, reps, shingle)
+        found = settle(across(groups.join(doubtful, "set", "left_semi"), reps, label, similarity - DOUBT, similarity + DOUBT, own, similarity))
+        if not found.isEmpty():
+            label = grown(found)
+    return label
+
+
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_hash and set of each row with a doc_id; set, component_id and label of its class.
 
@@ -236,10 +302,8 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     reps = settle(rows.join(least, ["set", "row"]).select("set", "doc_id", "text_hash", "least", "fp", "sketch", "bands"))
     pairs, groups = candidates(reps, budget)
     pairs = settle(estimated(pairs, reps).where(F.col("similarity") >= similarity - DOUBT))
-    label = linked(pairs, None, docs, reps, shingle, similarity)
-    more = settle(across(groups, reps, label, similarity - DOUBT))
-    if not more.isEmpty():
-        label = linked(more, label, docs, reps, shingle, similarity)
+    label = linked(pairs, docs, reps, shingle, similarity)
+    label = exhausted(groups, label, docs, reps, shingle, similarity)
     named = reps.select("set", "least").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     named = settle(named.select("set", "label", "least"))
     smallest = settle(named.groupBy("label").agg(F.min("least").alias("component_id")))

@@ -103,6 +103,70 @@ def test_pairs_within_a_class_of_prints(spark):
     assert similar.across(similar.candidates(reps, 1)[1], reps, none, 0.72).isEmpty()
 
 
+def one_group(spark, hashes):
+    """(key, reach, set) of one group of all of ``hashes``, a row of ``reps`` and of (set, shingles) for each, and no classes."""
+    sets = [np.unique(h) for h in hashes]
+    reps = [(i, 0, similar.sketch(h)) for i, h in enumerate(sets)]
+    own = [(i, bytearray(np.unique(h.astype(np.uint32)).tobytes())) for i, h in enumerate(sets)]
+    groups = [(7, 64, i) for i in range(len(sets))]
+    frame = spark.createDataFrame
+    none = frame([], "node long, label long")
+    return frame(groups, "key long, reach int, set long"), frame(reps, "set long, fp long, sketch binary"), frame(own, "set long, shingles binary"), none
+
+
+def half_new(rng, base, keep):
+    return np.append(rng.choice(base, keep, replace=False), rng.integers(0, 1 << 63, len(base) - keep, np.uint64))
+
+
+def test_links_of_a_group_grow_with_its_members(spark):
+    """200 sets of which all 19,900 pairs are similar (about 0.9 to each other): two links a member, at most, join them."""
+    rng = np.random.default_rng(20)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    groups, reps, _, none = one_group(spark, [half_new(rng, base, 390) for _ in range(200)])
+    found = similar.across(groups, reps, none, 0.8).collect()
+    assert len(found) < 400
+    root = list(range(200))
+    for r in found:
+        root = [root[r.a] if x == root[r.b] else x for x in root]
+    assert len(set(root)) == 1
+
+
+def test_doubts_of_a_group_grow_with_its_members(spark, monkeypatch):
+    """200 sets, pairs about 0.75, so that sketches leave thousands in doubt; two are planted that are 0.8 or more to one other."""
+    monkeypatch.setattr(similar, "BLOCK", 64)
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    hashes = [half_new(rng, base, 368) for _ in range(200)]
+    hashes += [np.append(hashes[i][: 400 - n], rng.integers(0, 1 << 63, n, np.uint64)) for i, n in ((5, 40), (150, 41))]
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    want = {(i, j) for j in range(len(hashes)) for i in range(j) if jaccard(hashes[i], hashes[j]) >= 0.8}
+    assert {(5, 200), (150, 201)} <= want
+    groups, reps, own, none = one_group(spark, hashes)
+    doubts = similar.across(groups, reps, none, 0.72, 0.88).collect()
+    assert 0 < len(doubts) <= 2 * len(hashes) and {i for p in want for i in p} <= {x for r in doubts for x in (r.a, r.b)}
+    for each in (similar.BLOCK_BYTES, 20_000):  # blocks of few sets, too, where these are large
+        monkeypatch.setattr(similar, "BLOCK_BYTES", each)
+        found = {(r.a, r.b) for r in similar.across(groups, reps, none, 0.72, 0.88, own, 0.8).collect()}
+        assert {(5, 200), (150, 201)} <= found <= want
+
+
+def test_pairs_near_the_threshold_of_large_groups(spark, monkeypatch):
+    """Copies about 0.7 to 0.85 to each other: which are linked is settled by shingles, within blocks."""
+    monkeypatch.setattr(similar, "CELL", 1)
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    monkeypatch.setattr(similar, "BLOCK_BYTES", 3000)
+    rng = np.random.default_rng(22)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for n, changes in ((200, 3), (300, 4), (150, 2)):
+        text = " ".join(rng.choice(words, n))
+        docs += [edited(rng, words, text, changes) for _ in range(30)]
+    docs = list(zip(rng.permutation(len(docs)).tolist(), docs, strict=True))
+    rows, found = similar.similar_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r.doc_id: r.component_id for r in rows.join(found, "set").collect()}
+    assert [got[i] for i, _ in docs] == brute_classes(docs)
+
+
 def test_odd_documents(spark):
     docs = cases.documents(spark)
     kept = similar.drop_near_copies(docs)
