@@ -87,3 +87,35 @@ def test_keys():
     assert len(match_keys(9, "bands")) == 4
     with pytest.raises(ValueError):
         match_keys(-1)
+
+
+def crowded():
+    """Prints of which many share most of their bits, so that key groups are large, and some that stand alone."""
+    rng = np.random.default_rng(5)
+    few = rng.choice(64, 10, replace=False).astype(np.uint64)
+    near = [np.bitwise_or.reduce(np.uint64(1) << few[rng.random(10) < 0.4], initial=np.uint64(1 << 40)) for _ in range(400)]
+    return sorted({int(np.uint64(p).astype(np.int64)) for p in (*near, *rng.integers(0, 2**63, 50))})
+
+
+@pytest.mark.parametrize("cells", [7, h.CELLS])
+@pytest.mark.parametrize("threshold", [0, 1, 3, 5, 64])
+def test_crowded_prints(spark, monkeypatch, threshold, cells):
+    """Pairs, sums and best rows; pairs are compared where keys meet and do not come out of a join."""
+    monkeypatch.setattr(h, "CELLS", cells)
+    monkeypatch.setattr(h, "DENSE", 20)
+    prints = crowded()
+    weight = {p: (7 * i) % 1000 + 1 for i, p in enumerate(prints)}
+    df = spark.createDataFrame([(p, p, weight[p]) for p in prints], "l long, r long, w long")
+    pairs = brute(prints, threshold)
+    found = hamming_join(df, df, threshold)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == pairs
+    assert sorted(map(tuple, hamming_join(df, df, threshold, ordered=True).collect())) == [p for p in pairs if p[0] < p[1]]
+    sums, first, closest = {}, {}, {}
+    for a, b, d in pairs:
+        sums[a] = sums.get(a, 0) + weight[b]
+        first[a] = min(first.get(a, 10**6), weight[b])
+        closest[a] = min(closest.get(a, (99, 0)), (d, weight[b]))
+    assert dict(map(tuple, h.hamming_sums(df, df, threshold).collect())) == sums
+    assert dict(map(tuple, h.hamming_best(df, df, threshold, "first").collect())) == first
+    assert dict(map(tuple, h.hamming_best(df, df, threshold, "closest").collect())) == {a: w for a, (_, w) in closest.items()}
