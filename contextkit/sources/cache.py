@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contextkit.functions.simhash import bands, fingerprint, fingerprint_of
-from contextkit.operators.hamming import hamming_join
+from contextkit.operators.hamming import hamming_best
 
 SCHEMA = T.StructType(
     [
@@ -57,16 +57,13 @@ def find_near(queries: DataFrame, cache: DataFrame, threshold: int, pick: str =
 
     ``pick`` "first" takes the lowest id within the threshold, "closest" the
     least distance, then the lowest id.  Fingerprints are made distinct before
-    the join, and payloads join afterwards for the rows that are picked.
+    they meet, and payloads join afterwards for the rows that are picked.
     """
     if pick not in ("first", "closest"):
         raise ValueError(f"Unknown pick: {pick}")
     own = firsts(cache)
-    pairs = hamming_join(queries.select(F.col("fingerprint").alias("l")), own.select(F.col("fingerprint").alias("r")), threshold, recall)
-    pairs = pairs.join(own.select(F.col("fingerprint").alias("r"), "id"), "r")
-    order = F.col("id") if pick == "first" else F.struct("distance", "id")
-    won = pairs.groupBy("l").agg(F.min_by("r", order).alias("r"))
-    won = won.join(own.select(F.col("fingerprint").alias("r"), "data"), "r").select(F.col("l").alias("fingerprint"), "data")
+    won = hamming_best(queries.select(F.col("fingerprint").alias("l")), own.select(F.col("fingerprint").alias("r"), F.col("id").alias("w")), threshold, pick, recall)
+    won = won.join(own.select(F.col("id").alias("w"), "data").dropDuplicates(["w"]), "w").select(F.col("l").alias("fingerprint"), "data")
     return queries.join(won, "fingerprint", "left")
 
 
