@@ -119,3 +119,20 @@ def test_crowded_prints(spark, monkeypatch, threshold, cells):
     assert dict(map(tuple, h.hamming_sums(df, df, threshold).collect())) == sums
     assert dict(map(tuple, h.hamming_best(df, df, threshold, "first").collect())) == first
     assert dict(map(tuple, h.hamming_best(df, df, threshold, "closest").collect())) == {a: w for a, (_, w) in closest.items()}
+
+
+def test_texts_taken_together(monkeypatch):
+    """As each text alone: short, long, of wide alphabets, over the bounds of a batch and of its tables; and no text is hashed by itself."""
+    rng = np.random.default_rng(2)
+    wide = ["".join(map(chr, rng.integers(low, high, 2000).tolist())) for low, high in ((32, 0xD7FF), (0x10000, 0x10FFFF))]
+    texts = ["", "a", "ab", "abc", "x" * 5000, "a😀é b", "é€😀x", *wide, *("".join(rng.choice(list("abc é😀"), n)) for n in range(3, 60))]
+    for k in (1, 2, 3, 5, 17):
+        expected = [sh.fingerprint_of(t, k) for t in texts]
+        for chars, table in ((1, 1), (50, 3000), (sh.CHARS, sh.TABLE)):
+            monkeypatch.setattr(sh, "CHARS", chars)
+            monkeypatch.setattr(sh, "TABLE", table)
+            assert sh.fingerprints_of(texts, k).tolist() == expected
+        monkeypatch.undo()
+    monkeypatch.setattr(sh, "fingerprint_of", None)
+    assert len(sh.fingerprints_of(["abcd", "bcde"])) == 2
+    assert len(sh.fingerprints_of([])) == 0
