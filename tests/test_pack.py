@@ -132,3 +132,35 @@ def test_overlap_pairs(spark):
     sets = [set(s.split()) for s in lines]
     expected = [(i, j) for i in range(5) for j in range(i + 1, 5) if len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) > 0.8]
     assert sorted((r.i, r.j) for r in pk.overlap_pairs(frame(spark, lines)).collect()) == expected
+
+
+def test_batches_of_sentences(spark, monkeypatch):
+    """Scores and the cap do not depend on the batches in which sentences are scored."""
+    monkeypatch.setattr(ti, "BATCH", 7)
+    lines = [f"word{i % 37} other{i % 11} thing{i} {'and more' * (i % 3)}" if i % 9 else "of it" for i in range(60)]
+    own = frame(spark, lines).union(frame(spark, lines[:5], None))
+    got = {(r.ctx, r.idx): r.score for r in ti.scores(own).collect()}
+    assert [got["c", i] for i in range(60)] == pytest.approx(brute_tfidf(lines))
+    assert [got[None, i] for i in range(5)] == pytest.approx(brute_tfidf(lines[:5]))
+    best = sorted(range(60), key=lambda i: (-round(brute_tfidf(lines)[i], 9), i))[:25]
+    kept = ti.cap_sentences(own, 25).collect()
+    assert sorted(r.idx for r in kept if r.ctx == "c") == sorted(best) and sum(r.ctx is None for r in kept) == 5
+
+
+def test_numbers_of_odd_contexts(spark):
+    """Rows of one pos are numbered by place and text; a null context or pos is one as any other."""
+    rows = [("a", 1, "second\nfourth"), ("a", 1, "another\nfifth one"), (None, 2, "after it"), (None, None, "before"), ("a", 0, "x\nthe first"), (None, 3, "and also"), ("a", None, "zeroth")]
+    got = pk.split_sentences(spark.createDataFrame(rows, "ctx string, pos int, text string"), "lines")
+    assert sorted((r.ctx or "", r.idx, r.sentence) for r in got.collect()) == [
+        ("", 0, "before"), ("", 1, "after it"), ("", 2, "and also"),
+        ("a", 0, "zeroth"), ("a", 1, "the first"), ("a", 2, "another"), ("a", 3, "second"), ("a", 4, "fifth one"), ("a", 5, "fourth"),
+    ]
+
+
+def test_no_window_over_sentences(spark):
+    """Only counts of sentences are sorted through a context, not the sentences."""
+    docs = spark.createDataFrame([("a", 0, "one line\nsecond line")], "ctx string, pos int, text string")
+    plan = pk.split_sentences(docs, "lines")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("sentence" in line for line in windows) and "row_number" not in plan
+    assert "Window" not in ti.scores(frame(spark, LINES))._jdf.queryExecution().optimizedPlan().toString()
