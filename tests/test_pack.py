@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,3 +165,30 @@ def test_no_window_over_sentences(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and not any("sentence" in line for line in windows) and "row_number" not in plan
     assert "Window" not in ti.scores(frame(spark, LINES))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_contexts(spark, monkeypatch):
+    """Ranks and picks of few contexts at a time, and of few terms at a time, are those of each alone."""
+    monkeypatch.setattr(tr, "ROWS", 2)
+    many = [[f"word{(i * k) % 13} other{(i + k) % 7} thing{i}" for i in range(k + 2)] for k in range(5)]
+    own = frame(spark, many[0], 0)
+    for k in range(1, 5):
+        own = own.union(frame(spark, many[k], k))
+    got = {(r.ctx, r.idx): r.score for r in tr.textrank(own).collect()}
+    for k, lines in enumerate(many):
+        assert [got[str(k), i] for i in range(len(lines))] == pytest.approx(brute_rank(lines), abs=1e-9)
+    whole = [tr.rank_of([s.split() for s in lines]).tolist() for lines in many]
+    monkeypatch.setattr(tr, "COLUMNS", 3)
+    assert [tr.rank_of([s.split() for s in lines]).tolist() for lines in many] == whole
+    seen = []
+    tr.by_rows(lambda v: seen.append(v) or [v], pa.list_(pa.int64()), pa.array(range(5)))
+    assert seen == [0, 1, 2, 3, 4]
+
+
+def test_total_spares_the_join(spark):
+    lines = [f"word{i % 7} other{i % 5} thing{i}" for i in range(40)]
+    docs = spark.createDataFrame([("c", i, s) for i, s in enumerate(lines)] + [("d", 0, "only one"), (None, 0, "of none")], "ctx string, pos int, text string")
+    own = pk.numbered_sentences(docs, "lines")
+    assert {(r.ctx, r.total) for r in own.collect()} == {("c", 40), ("d", 1), (None, 1)}
+    rows = [sorted(map(tuple, ti.cap_sentences(x, 9).collect()), key=repr) for x in (own, own.drop("total"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 11
