@@ -136,3 +136,18 @@ def test_texts_taken_together(monkeypatch):
     monkeypatch.setattr(sh, "fingerprint_of", None)
     assert len(sh.fingerprints_of(["abcd", "bcde"])) == 2
     assert len(sh.fingerprints_of([])) == 0
+
+
+def test_shingle_rows(spark, monkeypatch):
+    """As counted one by one: rows that share a doc_id, short, empty and null texts; shingles are not shuffled."""
+    monkeypatch.setattr(sh, "CHARS", 40)
+    texts = [(1, "banana"), (2, "a😀é a😀é"), (3, ""), (4, "ab"), (5, None), (6, "xyz"), (6, "xyzxyz"), (6, "xy"), (None, "of none"), *((i, f"some text {i} and {i % 3}") for i in range(10, 30))]
+    expected = {}
+    for d, t in texts:
+        for s in [] if t is None else [t] if len(t) < 3 else [t[i : i + 3] for i in range(len(t) - 2)]:
+            expected[d, s] = expected.get((d, s), 0) + 1
+    got = sh.shingle_rows(spark.createDataFrame(texts, "doc_id long, text string")).repartition(2)
+    rows = got.collect()
+    assert len(rows) == len(expected) and {(r.doc_id, r.shingle): r.n for r in rows} == expected
+    plan = sh.shingle_rows(spark.createDataFrame(texts, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "explode" not in plan
